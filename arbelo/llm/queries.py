@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arbelo.llm import bpe, decontam, exact_dedup, ngram_join
+from arbelo.llm import bpe, decontam, exact_dedup, langid, licenses, ngram_join, quality, secret_ledger, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -21,6 +21,18 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -33,16 +45,44 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.report(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_toxicity_segments": op2_toxicity_segments,
+    "op3_warc_round_trip": op3_warc_round_trip,
+    "op4_quality_ranking": op4_quality_ranking,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_license_scan": op8_license_scan,
+    "op9_secret_ledger": op9_secret_ledger,
+    "op10_language_id": op10_language_id,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_PAGE = "encode(coalesce(html, ''))"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_round_trip": f"""
+        WITH p AS (SELECT page_id, octet_length({_PAGE}) AS n, sha1({_PAGE}) AS h, min(page_id) OVER (PARTITION BY sha1({_PAGE})) AS f FROM pages)
+        SELECT page_id, n::BIGINT AS payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || h[5 * (i // 4) + 1:5 * (i // 4) + 5])::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)
+                                FOR i IN range(32)], '') AS payload_digest,
+               CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN f <> page_id THEN f END AS refers_to
+        FROM p""",
     "op5_benchmark_decontamination": rf"""
         WITH dw AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         iw AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
