@@ -51,7 +51,7 @@ COMMON = 100_000
 #: Documents of a task among which a shingle is counted, by their shingles; and the count that makes it common.
 COMMON_CHUNK, COMMON_LEAST = 2_000_000, 12
 #: Members of a block of an R-tree, and of a salted part of a verification.
-BLOCK, PART = 2_000, 500
+BLOCK, PART = 2_000, 100
 LEAF = 16
 CACHE_WORDS = 500_000
 
@@ -281,7 +281,9 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     labels = least_reachable(linked)
 
     placed = shared.join(labels.withColumnRenamed("v", "id"), "id", "left").select("tok", "id", F.coalesce("label", "id").alias("comp"))
-    mixed = placed.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok", F.ceil(F.col("m") / block).alias("blocks"))
+    # shingles that the same classes share deal out the same pairs: one of them, by two hashes of their members, is enough
+    members = placed.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("h2"))
+    mixed = members.filter("lo <> hi").groupBy("m", "h1", "h2").agg(F.min("tok").alias("tok")).select("tok", F.ceil(F.col("m") / block).alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     cells = (
         placed.join(mixed, "tok").withColumn("own", own)
