@@ -46,7 +46,9 @@ def contracts(texts: DataFrame, remove_noise: bool = True) -> DataFrame:
     """A registry record per contract and a fact per addendum, in order of file names."""
     t = F.col("texto")
     party = "CONTRATANTE:\\s*(.+?), inscrita no CNPJ ([\\d./-]+), com sede em (.+?)\\.\\n"
-    pos = F.lit(SOURCES["contrato"] * _SLOT) + F.conv(F.substring(F.md5("arquivo"), 1, 9), 16, 10).cast("long") * 2
+    digits = X.digits(F.col("arquivo"))
+    place = F.when(digits != "", F.substring(digits, -11, 11).cast("long")).otherwise(F.conv(F.substring(F.md5("arquivo"), 1, 9), 16, 10).cast("long"))
+    pos = F.lit(SOURCES["contrato"] * _SLOT) + place * 2
     number = F.regexp_extract(t, "CONTRATO DE FORNECIMENTO (\\S+)", 1)
     signed = F.regexp_extract(t, "Curitiba, (\\d{4}-\\d{2}-\\d{2})", 1)
     amount = F.regexp_extract(t, "R\\$\\s*([\\d.]+,\\d{2})", 1)
