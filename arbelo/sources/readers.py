@@ -90,8 +90,7 @@ def read_source(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
         return "tabela", read_csv(spark, path, sniff_separator(header.value if header else ""), trim=True)
     if kind in ("jsonl", "ndjson"):
         rows = read_jsonl(spark, path, infer_json(spark, path))
-        flat = flatten(rows.drop("_file", "_linha").withColumn("_linha", rows["_linha"]))
-        return "tabela", flat.withColumn("_linha", F.col("_linha").cast("long"))
+        return "tabela", flatten(rows.drop("_file")).withColumn("_linha", F.col("_linha").cast("long"))
     if kind == "json":
         whole = spark.read.option("primitivesAsString", True).option("multiLine", True).json(path)
         lists = [f.name for f in whole.schema.fields if isinstance(f.dataType, T.ArrayType)]
@@ -101,7 +100,7 @@ def read_source(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
             first = min(lists, key=lambda n: m.start() if (m := re.search(rf'"{re.escape(n)}"\s*:\s*\[', text)) else len(text))
             whole = whole.select(F.posexplode(f"`{first}`").alias("_pos", "_o"))
             rows = whole.select("_o.*", "_pos") if isinstance(whole.schema["_o"].dataType, T.StructType) else whole.select(F.col("_o").alias("valor"), "_pos")
-            return "tabela", flatten(rows.drop("_pos").withColumn("_linha", rows["_pos"] + 1)).withColumn("_linha", F.col("_linha").cast("long"))
+            return "tabela", flatten(rows.withColumn("_linha", F.col("_pos") + 1).drop("_pos")).withColumn("_linha", F.col("_linha").cast("long"))
         ids = whole.withColumn("_linha", F.monotonically_increasing_id() + 1)  # a json file is one task
         return "tabela", flatten(ids).withColumn("_linha", F.col("_linha").cast("long"))
     return "documentos", read_texts(spark, path)
