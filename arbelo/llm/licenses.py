@@ -2,8 +2,8 @@ r"""License scans (operator 8): ordered signature rules, DataFrame functions onl
 
 A text becomes its words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing,
 joined by single spaces.  Some hundreds of signature patterns (each license of
-`LICENSES` in each form of `FORMS`) are gated by a keyword: a pattern runs only
-on texts that have its keyword among their words.  Every match is an interval of
+`LICENSES` in each form of `FORMS`) are gated by keywords: a pattern runs only
+on texts that have its keywords among their words.  Every match is an interval of
 words with a label and the form's priority; an interval inside another one of
 higher priority, or of the same priority and longer, is suppressed.
 
@@ -28,6 +28,7 @@ from arbelo.llm.spans import match_spans
 class Rule(NamedTuple):
     label: str
     keyword: str
+    needs: str  # a second word without which the pattern cannot match; the keyword again if there is none
     pattern: str
     priority: int
     base: bool = False
@@ -107,24 +108,30 @@ FORMS = [
 ]
 
 
+#: Licenses whose name always has the word "license".
+_NAMED_LICENSE = ["apache-1.0", "apache-1.1", "apache-2.0", "mit", "isc", "ms-pl", "ms-rl", "artistic-1.0", "artistic-2.0", "boost", "busl", "zlib", "libpng", "python", "php", "ruby", "openssl", "postgresql", "curl", "elastic", "ecl"]
+
+
 def _between_spaces(pattern: str) -> str:
     return f"(?<= )(?:{pattern})(?= )"
 
 
 def rules() -> list[Rule]:
-    out = [Rule(label, phrase.split()[0], _between_spaces(phrase), 1, True) for phrase, label in BASE.items()]
+    out = [Rule(label, phrase.split()[0], phrase.split()[-1], _between_spaces(phrase), 1, True) for phrase, label in BASE.items()]
     for label, keywords, name, spdx in LICENSES:
         for form, priority, around in FORMS:
             pattern = _between_spaces(around.replace("N", f"(?:{name})").replace("S", f"(?:{spdx})"))
-            out += [Rule(label, "spdx" if form == "spdx" else k, pattern, priority) for k in ([""] if form == "spdx" else keywords.split("|"))]
+            if form == "spdx":
+                out.append(Rule(label, "spdx", "identifier", pattern, priority))
+            else:
+                out += [Rule(label, k, "license" if label in _NAMED_LICENSE else k, pattern, priority) for k in keywords.split("|")]
     return out
 
 
-def _detections(words: Column, text: Column, table: list[Rule]) -> Column:
-    """array<struct<start,end,label,priority,base>> of all matches; start and end number words."""
+def _detections(here: Column, text: Column, table: list[Rule]) -> Column:
+    """array<struct<start,end,label,priority,base>> of all matches; start and end number words; here: the text's keywords."""
     known = F.array(*[F.struct(*[F.lit(getattr(r, c)).alias(c) for c in Rule._fields]) for r in table])
-    here = F.array_intersect(words, F.array(*[F.lit(k) for k in sorted({r.keyword for r in table})]))
-    gated = F.filter(known, lambda r: F.array_contains(here, r["keyword"]))
+    gated = F.filter(known, lambda r: F.array_contains(here, r["keyword"]) & F.array_contains(here, r["needs"]) & F.rlike(text, r["pattern"]))
     gaps = lambda n: F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit("")))
 
     def placed(r: Column) -> Column:
@@ -140,14 +147,16 @@ def _detections(words: Column, text: Column, table: list[Rule]) -> Column:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", table: list[Rule] | None = None) -> DataFrame:
     """key, n_words, found (all detections) and kept (those that no other one suppresses) of every row."""
     table = table or rules()
-    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in table})])
+    keywords, seconds = (F.array(*[F.lit(k) for k in sorted({getattr(r, c) for r in table})]) for c in ("keyword", "needs"))
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
     none = F.array().cast("array<struct<start:int,end:int,label:string,priority:int,base:boolean>>")
     rows = docs.select(F.col(key).alias(key), words.alias("words"))
-    # texts without any keyword keep nothing but the number of words
-    rows = rows.select(key, F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", keywords), F.col("words")).alias("words"))
-    rows = rows.select(key, "n_words", "words", F.when(F.col("words").isNotNull(), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("plain"))
-    rows = rows.select(key, "n_words", F.when(F.col("words").isNotNull(), _detections(F.col("words"), F.col("plain"), table)).otherwise(none).alias("found"))
+    # texts without any pair of keywords keep nothing but the number of words; the gate is a cheaper superset of the rules' own
+    rows = rows.select(key, F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", keywords) & F.arrays_overlap("words", seconds), F.col("words")).alias("words"))
+    # the keywords of a text are a column of their own: inside the filter over rules they would be found anew for each rule
+    every = F.array(*[F.lit(k) for k in sorted({k for r in table for k in (r.keyword, r.needs)})])
+    rows = rows.select(key, "n_words", F.array_intersect("words", every).alias("here"), F.when(F.col("words").isNotNull(), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("plain"))
+    rows = rows.select(key, "n_words", F.when(F.col("plain").isNotNull(), _detections(F.col("here"), F.col("plain"), table)).otherwise(none).alias("found"))
 
     def beaten(d: Column) -> Column:
         inside = lambda o: (o["start"] <= d["start"]) & (d["end"] <= o["end"])
