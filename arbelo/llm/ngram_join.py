@@ -7,16 +7,19 @@ Two documents link when 100 |A n B| >= 85 |A u B|.
 1. Shingles that many documents of a task share are counted and the commonest
    (a documented bound) ranked last in the one order of all shingles.
 2. A row per document: set size, 128-bit fingerprint of the set, the counts of
-   its shingles in `GROUPS` hash groups (a point), and its prefix: the first
-   n - ceil(0.85 n) + 1 shingles in that order.  Two sets that link share a
-   shingle of their prefixes, so prefixes deal the work out and lose no link.
+   its shingles in hash groups (a point: `GROUPS` coordinates for the trees, and
+   a finer one of a power of two near a quarter of the set's size), and its
+   prefix: the first n - ceil(0.85 n) + 1 shingles in that order.  Two sets that
+   link share a shingle of their prefixes, so prefixes deal the work out and
+   lose no link.
 3. Equal sets are one class, stood for by its smallest id.
 4. Classes under a shared prefix shingle are first compared with the smallest
    of them.  The sum of coordinate minima of two points bounds the overlap of
    their sets; pairs it allows are verified on the texts.
 5. Of shingles whose classes are not all linked yet, the points form R-trees:
    boxes, then points, between which the bound leaves too little overlap are
-   skipped; pairs of unlinked classes that survive are verified on the texts.
+   skipped; pairs of unlinked classes that survive, and survive the bound of
+   their finer points, are verified on the texts.
 6. Components over all verified links.
 
 Groups under one shingle are split into blocks (5) or salted (verification),
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbelo.llm.common import free_name, materialize, space_words
@@ -55,6 +58,11 @@ BLOCK, PART = 2_000, 100
 LEAF = 16
 CACHE_WORDS = 500_000
 
+#: Coordinates of the finer point at most, and counts that its bytes hold at most: a full byte says "that many or more".
+FINE_LEAST, FINE_MOST, FULL, FULL_COARSE = 32, 1 << 16, 127, 32_767
+#: Rows of (pivot, partner) that may be broadcast to the texts, some 40 bytes each; beyond, both sides are shuffled.
+BROADCAST_ROWS = 20_000
+
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
@@ -132,30 +140,42 @@ def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """id, n, s1, s2 (fingerprint), point, prefix of every row."""
+    """id, n, s1, s2 (fingerprint), point, fine, prefix and its common shingles (often) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, size))  # COMMON rows at most
 
     def run(batches):
         known = _WordHashes()
         common, ranks = shared.value
         for batch in batches:
-            n, s1, s2, points, prefixes = [], [], [], [], []
+            n, s1, s2, points, fines, prefixes, often = [], [], [], [], [], [], []
             for value in batch.column(1):
                 u = shingle_set(value.as_py(), known, size)
                 n.append(len(u))
                 s1.append(int(_mixed(u ^ _MIX[0]).sum(dtype=np.uint64).view(np.int64)))
                 s2.append(int(_mixed(u ^ _MIX[2]).sum(dtype=np.uint64).view(np.int64)))
-                points.append(np.bincount((u >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32))
+                fine = np.bincount((u >> np.uint64(20)).astype(np.int64) % _fine_groups(len(u)), minlength=_fine_groups(len(u)))
+                points.append(np.minimum(fine.reshape(-1, GROUPS).sum(axis=0) if len(fine) >= GROUPS else np.bincount((u >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS), FULL_COARSE).astype(np.int16))
+                fines.append(np.minimum(fine, FULL).astype(np.int8))
+                length, last = prefix_length(len(u), num, den), 0
                 if len(common) and len(u):
                     at = np.minimum(np.searchsorted(common, u), len(common) - 1)
-                    u = u[np.argsort(np.where(common[at] == u, ranks[at], 0), kind="stable")]
-                prefixes.append(_signed(u[: prefix_length(len(u), num, den)]))
+                    rank = np.where(common[at] == u, ranks[at], 0)
+                    u = u[np.argsort(rank, kind="stable")]
+                    last = max(0, length - int(np.count_nonzero(rank == 0)))
+                prefixes.append(_signed(u[: length - last]))
+                often.append(_signed(u[length - last : length]))
             offsets = lambda xs: pa.array(np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets(xs), pa.array(np.concatenate(xs))) if xs else pa.array([], pa.list_(kind)) for xs, kind in ((points, pa.int32()), (prefixes, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *lists], names=["id", "n", "s1", "s2", "point", "prefix"])
+            columns = ((points, pa.int16()), (fines, pa.int8()), (prefixes, pa.int64()), (often, pa.int64()))
+            lists = [pa.ListArray.from_arrays(offsets(xs), pa.array(np.concatenate(xs), kind)) if xs else pa.array([], pa.list_(kind)) for xs, kind in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *lists], names=["id", "n", "s1", "s2", "point", "fine", "prefix", "often"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, point array<int>, prefix array<long>")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, point array<smallint>, fine array<tinyint>, prefix array<long>, often array<long>")
+
+
+def _fine_groups(n: int) -> int:
+    """A power of two near n / 4: sets of nearly one size have one number of groups, or one twice the other."""
+    return min(FINE_MOST, max(FINE_LEAST, 1 << max(0, (n // 4 - 1).bit_length())))
 
 
 class CountTree:
@@ -214,6 +234,7 @@ def _tree_pairs(rows: DataFrame, kind: str, num: int, den: int) -> DataFrame:
             if len(set(comps)) < 2:
                 continue
             sizes, points = np.array([r[6] for r in group]), np.array([r[7] for r in group], np.int64)
+            points[points >= FULL_COARSE] = 1 << 40  # "that many or more"
             tree = CountTree(points, sizes, num, den)
             a, b = [], []
             for i in range(len(group)):
@@ -229,12 +250,23 @@ def _tree_pairs(rows: DataFrame, kind: str, num: int, den: int) -> DataFrame:
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sizes and summed coordinate minima allow a link."""
-    left = points.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    right = points.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    overlap = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    """The pairs whose sizes and summed minima of their finer points allow a link."""
+    left = points.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("pa"))
+    right = points.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("pb"))
     fits = (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den)
-    return pairs.join(left, "a").join(right, "b").filter(fits & (overlap * (num + den) >= (F.col("na") + F.col("nb")) * num)).select("a", "b")
+    near = pairs.join(left, "a").join(right, "b").filter(fits)
+    groups = F.least(F.size("pa"), F.size("pb"))
+    full = F.greatest("na", "nb")
+    count = lambda x: F.when(x == FULL, full).otherwise(x.cast("long"))
+
+    def folded(p: str):
+        """A point with twice the groups has those of the other in its two halves."""
+        halves = F.zip_with(F.slice(p, F.lit(1), groups), F.slice(p, groups + 1, groups), lambda x, y: count(x) + count(y))
+        return F.when(F.size(p) == groups, F.transform(p, count)).when(F.size(p) == 2 * groups, halves)
+
+    overlap = F.aggregate(F.zip_with(folded("pa"), folded("pb"), lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    allowed = overlap * (num + den) >= (F.col("na") + F.col("nb")) * num
+    return near.filter(F.coalesce(allowed, F.lit(True))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, kind: str, size: int, num: int, den: int) -> DataFrame:
@@ -243,7 +275,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, kind: str,
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(1).alias("role"), F.col("b").alias("id"))
     pivots = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("id"))
     wanted = materialize(dealt.unionByName(pivots), "to-verify")
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).join(wanted.hint("shuffle_hash"), "id")
+    few = wanted.count() <= BROADCAST_ROWS
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "id")
 
     def run(batches):
         known, at, sets = _WordHashes(), None, []
@@ -270,13 +303,17 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     signed = materialize(signatures(docs, key, text, size, num, den), "signatures")
     sets = signed.filter("n > 0 and id is not null")
     classes = materialize(sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    reps = sets.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["n", "s1", "s2", "id"], "left_semi")
-    points = reps.select("id", "n", "point")
-
-    tokens = reps.select("id", F.explode("prefix").alias("tok"))
-    pivots = tokens.groupBy("tok").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).filter("pivot <> other").select("tok", "pivot")
-    shared = materialize(tokens.join(pivots.hint("shuffle_hash"), "tok"), "shared")
-    stars = materialize(_bounded(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), points, num, den), "stars")
+    reps = materialize(sets.drop("s1", "s2").join(classes.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi"), "class-points")
+    points = reps.select("id", "n", "fine")
+
+    # shingles that are not common meet in one shuffle; the common ones, whose groups may be large, by partial minima and a join
+    here = Window.partitionBy("tok")
+    rare = reps.select("id", F.explode("prefix").alias("tok")).withColumns({"pivot": F.min("id").over(here), "other": F.max("id").over(here)}).filter("pivot <> other").select("tok", "id", "pivot")
+    often = reps.select("id", F.explode("often").alias("tok"))
+    pivots = often.groupBy("tok").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).filter("pivot <> other").select("tok", "pivot")
+    shared = materialize(rare.unionByName(often.join(pivots, "tok").select("tok", "id", "pivot")), "shared")
+    tried = materialize(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "tried")
+    stars = materialize(_bounded(tried, points, num, den), "stars")
     linked = materialize(_verified(stars, docs, key, text, kind, size, num, den), "links")
     labels = least_reachable(linked)
 
@@ -289,9 +326,9 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         placed.join(mixed, "tok").withColumn("own", own)
         .select("tok", "id", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
         .select("tok", "id", "comp", "own", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"))
-        .join(points, "id")
+        .join(reps.select("id", "n", "point"), "id")
     )
-    rest = materialize(_tree_pairs(cells, kind, num, den).join(stars, ["a", "b"], "left_anti"), "candidates")
+    rest = materialize(_bounded(_tree_pairs(cells, kind, num, den).join(tried, ["a", "b"], "left_anti"), points, num, den), "candidates")
     if not rest.isEmpty():
         linked = materialize(linked.unionByName(_verified(rest, docs, key, text, kind, size, num, den)), "links")
         labels = least_reachable(linked)
