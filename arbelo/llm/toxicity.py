@@ -2,9 +2,11 @@ r"""Toxicity (operator 2): maximum-scoring segment search over token log-odds.
 
 Fit: of the labelled rows outside the held-out fold, a sample of at most
 `SAMPLE` (a documented bound) gives, for each token, the log-odds of standing in
-a toxic rather than a clean text under an informative Dirichlet prior; tokens
-whose log-odds are `Z_LEAST` standard errors from 0 are kept, `TOKENS` at most.
-Other tokens score `DRIFT`, so that long clean texts tend downwards.
+a toxic rather than a clean text.  The Dirichlet prior of either class is a
+share of the token's count in both, in proportion to the class, so that it
+shrinks towards no difference.  Tokens whose log-odds are `Z_LEAST` standard
+errors over 0 and `EFFECT_LEAST` of the greatest possible are kept, `TOKENS` at
+most.  Other tokens score `DRIFT`, so that long clean texts tend downwards.
 
 Scan: a linear pass finds all maximal-scoring segments of a text.  The best
 segment of clean texts follows an extreme-value law whose location grows with
@@ -35,7 +37,9 @@ from arbelo.llm.common import alnum_words, fold, free_name, labelled_sample, mat
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE, TOKENS = 20_000, 50_000
-PRIOR_SHARE, Z_LEAST, DRIFT, SIGNIFICANT = 0.1, 3.0, -0.25, 1.0
+PRIOR_SHARE, Z_LEAST, DRIFT, SIGNIFICANT = 0.1, 2.4, -0.25, 1.0
+#: Log-odds of a token that counts, as a share of those of a token that only toxic texts have.
+EFFECT_LEAST = 2 / 3
 THRESHOLD = 0.7
 
 
@@ -107,25 +111,34 @@ def _log_odds(sample: DataFrame) -> dict[bytes, float]:
     n1, n0 = counts.agg(F.sum("c1"), F.sum("c0")).first()
     if not n1 or not n0:
         return {}
-    prior = (F.col("c1") + F.col("c0")) * PRIOR_SHARE
-    size = PRIOR_SHARE * (n1 + n0)
-    up, down = F.col("c1") + prior, F.col("c0") + prior
-    delta = F.log(up / (n1 + size - up)) - F.log(down / (n0 + size - down))
-    kept = counts.select("token", delta.alias("delta"), (delta / F.sqrt(1 / up + 1 / down)).alias("z")).filter(F.abs("z") >= Z_LEAST)
-    return {bytes(r.token): r.delta for r in kept.orderBy(F.abs("z").desc(), "token").limit(TOKENS).collect()}
+    total = F.col("c1") + F.col("c0")
+    up, down = F.col("c1") + total * (PRIOR_SHARE * n1 / (n1 + n0)), F.col("c0") + total * (PRIOR_SHARE * n0 / (n1 + n0))
+    size1, size0 = n1 * (1 + PRIOR_SHARE), n0 * (1 + PRIOR_SHARE)
+    delta = F.log(up / (size1 - up)) - F.log(down / (size0 - down))
+    share = PRIOR_SHARE * n1 / (n1 + n0)
+    least = EFFECT_LEAST * math.log((1 + share) / share)  # what a token of toxic texts only has
+    kept = counts.select("token", delta.alias("delta"), (delta / F.sqrt(1 / up + 1 / down)).alias("z")).filter((F.col("z") >= Z_LEAST) & (F.col("delta") >= least))
+    return {bytes(r.token): r.delta for r in kept.orderBy(F.desc("z"), "token").limit(TOKENS).collect()}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
     """Slope and offset of a logistic curve, by Newton steps."""
     design = np.column_stack((x, np.ones_like(x)))
+    penalty = np.array([ridge * len(y), 1e-9])
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (penalty * w * w).sum() / 2)
+
     w = np.array([0.0, math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))])
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (y - p) - ridge * len(y) * np.array([w[0], 0])
-        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag([ridge * len(y), 1e-9])
-        step = np.linalg.solve(hess, grad)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty) + 1e-9 * np.eye(2), design.T @ (y - p) - penalty * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-9:
             break
     return float(w[0]), float(w[1])
 
