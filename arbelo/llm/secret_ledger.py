@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbelo.llm.common import new_folder
+from arbelo.llm.common import materialize, new_folder
 from arbelo.llm.spans import match_spans
 
 
@@ -110,7 +110,8 @@ def findings(docs: DataFrame, ledger: str, rules: list[Rule] = RULES, key: str =
     names = F.array(*[F.lit(r.name) for r in rules])
     seen = read(spark, ledger)
     placed = F.transform(F.flatten(F.collect_list("found")), lambda x: F.struct(x["start"].alias("start"), F.array_position(names, x["rule"]).alias("rank"), x["end"].alias("end"), x["rule"].alias("rule")))
-    by_blob = seen.groupBy("blob").agg(F.array_sort(F.array_distinct(F.filter(placed, lambda x: x["rank"] > 0))).alias("found"))
+    # a table of its own, so that the join below meets plain rows on both sides and a blob with very many paths can be split
+    by_blob = materialize(seen.groupBy("blob").agg(F.array_sort(F.array_distinct(F.filter(placed, lambda x: x["rank"] > 0))).alias("found")), "findings")
     return docs.select(F.col(key), _blob(text).alias("blob")).join(by_blob, "blob", "left").select(key, "found")
 
 
