@@ -27,7 +27,6 @@ import base64
 import hashlib
 import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -39,8 +38,9 @@ from pyspark.sql import functions as F
 from arbelo.llm.common import new_folder
 
 #: Bytes of payload a shard is meant to hold, and compressed bytes after which a file ends.
-SHARD_BYTES, ROLL_BYTES = 128 << 20, 64 << 20
-BINS = 4096
+SHARD_BYTES, ROLL_BYTES = 32 << 20, 64 << 20
+#: Ranges of the histogram: the driver holds a row for each, and shards number no more.
+BINS = 32_768
 LEVEL = 4
 DATE = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")  # of every record: the same input gives the same bytes
 
@@ -122,20 +122,25 @@ class _Roller:
         self.done.append((self.name, self.shard, self.records, self.bytes, self.hash.hexdigest()))
 
 
-def _cuts(weights: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """Smallest key, width of a bin, and the bins at which shards begin; at most BINS bins come to the driver."""
-    lo, hi = weights.agg(F.min("key"), F.max("key")).first()
+def _shards(digests: DataFrame, shard_bytes: int) -> tuple[int, int, list[tuple[int, int]], int]:
+    """Smallest key, width of a bin, the shard of each bin, and the number of shards; at most BINS bins come to the driver."""
+    lo, hi = digests.agg(F.min("key"), F.max("key")).first()
     if lo is None:
-        return 0, 1, [0]
+        return 0, 1, [(0, 0)], 1
     width = max(1, -(-(hi - lo + 1) // BINS))
-    bins = weights.filter("key is not null").groupBy(F.floor((F.col("key") - lo) / width).alias("bin")).agg(F.sum("size").alias("size")).collect()
-    cuts, held = [0], 0
+    bins = digests.groupBy(_bin(lo, width).alias("bin")).agg(F.sum("size").alias("size")).collect()
+    out, shard, held = [], 0, 0
     for bin_, size in sorted((r.bin, r.size) for r in bins):
         if held and held + size > shard_bytes:
-            cuts.append(bin_)
-            held = 0
+            shard, held = shard + 1, 0
         held += size
-    return lo, width, cuts
+        out.append((bin_, shard))
+    return lo, width, out, shard + 1
+
+
+def _bin(lo: int, width: int):
+    """The bin of a key; rows without a key go with the first ones."""
+    return F.floor((F.coalesce(F.col("key"), F.lit(lo)) - lo) / width)
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -143,14 +148,13 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("body"))
     digests = rows.select("key", F.unhex(F.sha1("body")).alias("digest"), F.length("body").alias("size"))
-    lo, width, cuts = _cuts(digests, shard_bytes)
-    bin_of = F.floor((F.coalesce(F.col("key"), F.lit(lo)) - lo) / width)
-    # the numbers of shards grow with the bytes; as an array literal they are found by binary search in the JVM's order
-    shard = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= bin_of)) - 1 if len(cuts) <= 64 else _python_free_search(bin_of, cuts)
+    lo, width, bins, shards = _shards(digests, shard_bytes)
+    spark = pages.sparkSession
+    shard_of = F.broadcast(spark.createDataFrame(bins, "bin long, shard long"))  # BINS rows at most
     firsts = digests.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select("digest", "first")
     decided = digests.join(firsts, "digest").select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), F.col("digest"), "first").distinct()
     both = rows.select("key", "url", "body", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("first")).unionByName(decided)
-    dealt = both.withColumn("shard", shard.cast("long")).repartition(max(len(cuts), 1), "shard").sortWithinPartitions("shard", "key", F.col("body").isNotNull(), "url", "body")
+    dealt = both.withColumn("bin", _bin(lo, width)).join(shard_of, "bin").drop("bin").repartition(shards, "shard").sortWithinPartitions("shard", "key", F.col("body").isNotNull(), "url", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, at, known, seen = None, (None,), {}, {}
@@ -179,16 +183,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             roller.close()
             yield _manifest(roller.done)
 
-    dealt.mapInArrow(run, MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest")
-    return read_manifest(pages.sparkSession, folder)
-
-
-def _python_free_search(value, cuts: list[int]):
-    """Which of the sorted cuts is the last at or below value, as nested comparisons."""
-    if len(cuts) <= 16:
-        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)) - 1
-    half = len(cuts) // 2
-    return F.when(value < cuts[half], _python_free_search(value, cuts[:half])).otherwise(_python_free_search(value, cuts[half:]) + half)
+    dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    return read_manifest(spark, folder)
 
 
 def _manifest(done: list[tuple]) -> pa.RecordBatch:
