@@ -1,7 +1,7 @@
 r"""Language ID (operator 10): script ranges, word scores, and a Viterbi pass with a switching penalty.
 
-Fit: a sample of at most `SAMPLE` labelled rows outside the held-out fold (a
-documented bound) gives the counts of letter n-grams per language, the
+Fit: a sample of `SAMPLE` labelled rows (give or take their square root)
+outside the held-out fold, a documented bound, gives the counts of letter n-grams per language, the
 commonest `GRAMS` of them.  A word's score for a language is the sum of its
 n-grams' log-probabilities; only languages that write the word's script (by
 ranges of code points) are candidates.  Over the words of a text, Viterbi finds
@@ -63,7 +63,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     usable = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (fold("k", FOLDS) != HELD_OUT))
     total = usable.select("k").count()
     share = min(1.0, SAMPLE / max(total, 1))
-    chosen = usable.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(SAMPLE)
+    # by a hash of the key, in the tasks that read the rows; a limit would bring the sample into one task
+    chosen = usable.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1)
 
     def count(batches):
         for batch in batches:
@@ -99,32 +100,43 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 class Labeller:
+    """Scores words, each once, and finds the best sequence of languages."""
+
     def __init__(self, model: dict, switch: float = SWITCH):
-        self.model, self.switch, self.known, self.scores = model, switch, {}, []
-
-    def _word(self, word: str) -> int:
-        m = self.model
-        own = m["scripts"].get(script(word))
-        get, unseen = m["grams"].get, m["unseen"]
-        total = np.sum([get(g, unseen) for g in grams(word)], axis=0)
-        total = total - total.max()
-        if own is not None and own.any():
-            total = np.where(own, total, -1e6)
-        self.known[word] = len(self.scores)
-        self.scores.append(total)
-        return len(self.scores) - 1
+        self.model, self.switch, self.known = model, switch, {}
+        self.at = {g: i + 1 for i, g in enumerate(model["grams"])}  # 0: a gram never seen
+        self.table = np.vstack([model["unseen"], *model["grams"].values()])
+        self.scores = np.empty((0, len(model["langs"])))
+
+    def _learn(self, new: list[str]) -> None:
+        """Scores of new words: sums over their grams, all at once."""
+        get = self.at.get
+        ids, starts = [], []
+        for w in new:
+            self.known[w] = len(self.known)
+            starts.append(len(ids))
+            ids += [get(g, 0) for g in grams(w)]
+        total = np.add.reduceat(self.table[np.array(ids)], starts, axis=0)
+        total -= total.max(axis=1, keepdims=True)
+        for name, own in self.model["scripts"].items():
+            if own.any() and not own.all():
+                these = [i for i, w in enumerate(new) if script(w) == name]
+                total[np.ix_(these, np.flatnonzero(~own))] = -1e6
+        self.scores = np.vstack([self.scores, total])
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each list of words, the number of the language of each word."""
         if len(self.known) > CACHE_WORDS:
-            self.known, self.scores = {}, []
+            self.known, self.scores = {}, self.scores[:0]
+        new = list({w for t in texts for w in t if w not in self.known})
+        if new:
+            self._learn(new)
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        get = self.known.get
-        rows = [np.array([j if (j := get(w)) is not None else self._word(w) for w in texts[i]], np.int64) for i in order]
+        rows = [np.array([self.known[w] for w in texts[i]], np.int64) for i in order]
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
         if not rows or not len(rows[0]):
             return out
-        table = np.array(self.scores)
+        table = self.scores
         lens = np.array([len(r) for r in rows])
         n = int(np.count_nonzero(lens))
         starts = np.concatenate(([0], np.cumsum(lens[:n])))[:-1]

@@ -49,7 +49,7 @@ def test_viterbi_finds_the_best_path():
     langs = ["a", "b", "c"]
     words = [f"w{i}" for i in range(9)]
     labeller = langid.Labeller({"langs": langs, "grams": {}, "unseen": np.zeros(3), "scripts": {}}, 1.5)
-    labeller.scores = [rng.normal(size=3) for _ in words]
+    labeller.scores = rng.normal(size=(len(words), 3))
     labeller.known = {w: i for i, w in enumerate(words)}
     texts = [list(rng.choice(words, size=n)) for n in (0, 1, 2, 5, 6, 6, 3)]
     for text, path in zip(texts, labeller.label(texts), strict=True):
