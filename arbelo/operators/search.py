@@ -1,4 +1,4 @@
-"""Search by name: candidates share a bigram with the query, so no positive similarity is lost and nothing is compared in vain."""
+"""Search by name: candidates share what a positive similarity needs (a bigram, or a character for Jaro-Winkler and edit distances), so none is lost."""
 
 from __future__ import annotations
 
@@ -9,11 +9,30 @@ from arbelo.functions import text as X
 from arbelo.operators import ranking
 
 
+#: Names of a salted block.
+BLOCK = 1_000
+
+
+def crossed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs of rows of two tables: each row goes to the salted blocks of one row or column, and each pair meets in one block."""
+    m, n = (max(1, -(-side.count() // BLOCK)) for side in (left, right))
+    own = lambda side, k: F.pmod(F.xxhash64(*side.columns), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    x = left.select(*left.columns, own(left, m).alias("_i"), every(n).alias("_j"))
+    y = right.select(*right.columns, every(m).alias("_i"), own(right, n).alias("_j"))
+    return x.join(y, ["_i", "_j"]).drop("_i", "_j")
+
+
 def candidates(queries: DataFrame, names: DataFrame, sim: str = "max") -> DataFrame:
-    """(q, query, nome, s): similarity of every query to every name that shares a bigram with it."""
-    asked = queries.select("q", "query", F.explode(F.array_distinct(X.bigrams(F.col("query")))).alias("g"))
-    known = names.select("nome").distinct().select("nome", F.explode(F.array_distinct(X.bigrams(F.col("nome")))).alias("g"))
-    pairs = asked.join(known, "g").select("q", "query", "nome").distinct()
+    """(q, query, nome, s): similarity of every query to every name that shares a bigram with it, or, for the measures by characters, a character."""
+    known = names.select("nome").distinct()
+    if sim == "max":
+        asked = queries.select("q", "query", F.explode(F.array_distinct(X.bigrams(F.col("query")))).alias("g"))
+        known = known.select("nome", F.explode(F.array_distinct(X.bigrams(F.col("nome")))).alias("g"))
+        pairs = asked.join(known, "g").select("q", "query", "nome").distinct()
+    else:
+        alike = F.arrays_overlap(F.split("query", ""), F.split("nome", "")) | (F.col("query") == F.col("nome"))
+        pairs = crossed(queries.select("q", "query").distinct(), known).filter(alike)
     return pairs.withColumn("s", X.name_similarity(F.col("query"), F.col("nome"), sim))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbelo.functions import text as X
-from arbelo.operators import resolve
+from arbelo.operators import resolve, search
 from arbelo.plans.tables import table
 
 
@@ -64,12 +64,19 @@ HAMMING_ONE = """
     WHERE hamming(lpad(s_suppkey::VARCHAR, 6, '0'), lpad(p_partkey::VARCHAR, 6, '0')) = 1"""
 
 
-def _name_pairs(spark: SparkSession, sf_dir: str, spelt=lambda c: c) -> DataFrame:
-    """Pairs of distinct part names that share a bigram as spelt: no measure reaches its threshold without one."""
+def _name_pairs(spark: SparkSession, sf_dir: str, measure: str, floor: float) -> DataFrame:
+    """Pairs of distinct part names that can reach the floor.
+
+    Dice and Jaccard need a shared bigram; the others do not: names meet in
+    salted blocks, and what a pair can reach at most is compared with the floor.
+    """
     names = table(spark, sf_dir, "part", X.normalise_name(F.col("p_name")).alias("n")).distinct()
-    grams = names.select("n", F.explode(F.array_distinct(X.bigrams(spelt(F.col("n"))))).alias("g"))
-    pairs = grams.select(F.col("n").alias("a"), "g").join(grams.select(F.col("n").alias("b"), "g"), "g").filter("a < b").select("a", "b").distinct()
-    return pairs
+    a, b = names.select(F.col("n").alias("a")), names.select(F.col("n").alias("b"))
+    if measure in ("dice", "jaccard"):
+        grams = lambda side, c: side.select(c, F.explode(F.array_distinct(X.bigrams(F.col(c)))).alias("g"))
+        return grams(a, "a").join(grams(b, "b"), "g").filter("a < b").select("a", "b").distinct()
+    most = X.jaro_winkler_most if measure == "jw" else X.lev_ratio_most
+    return search.crossed(a, b).filter("a < b").filter(most(F.col("a"), F.col("b")) >= floor - 1e-9)
 
 
 _GRAMS = """
@@ -88,7 +95,7 @@ def _measured(name: str, floor: float = 0.5):
     measure = {"dice": X.dice, "jaccard": X.jaccard, "levratio": X.lev_ratio, "tokensort": X.token_sort_ratio, "jw": X.jaro_winkler}[name]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scored = _name_pairs(spark, sf_dir, X.token_sort if name == "tokensort" else lambda c: c).withColumn("v", measure(F.col("a"), F.col("b")))
+        scored = _name_pairs(spark, sf_dir, name, floor).withColumn("v", measure(F.col("a"), F.col("b")))
         return scored.filter(F.col("v") >= floor).select("a", "b", F.round("v", 6).alias("v"))
 
     query.__name__ = f"name_{name}"
