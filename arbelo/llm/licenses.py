@@ -2,7 +2,7 @@ r"""License scans (operator 8): ordered signature rules, DataFrame functions onl
 
 A text becomes its words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing,
 joined by single spaces.  Some hundreds of signature patterns (each license of
-`LICENSES` in each form of `FORMS`) are gated by keywords: a pattern runs only
+`LICENSES` in each form of `FORMS`, and the sentences of `BODIES`) are gated by keywords: a pattern runs only
 on texts that have its keywords among their words.  Every match is an interval of
 words with a label and the form's priority; an interval inside another one of
 higher priority, or of the same priority and longer, is suppressed.
@@ -28,7 +28,7 @@ from arbelo.llm.spans import match_spans
 class Rule(NamedTuple):
     label: str
     keyword: str
-    needs: str  # a second word without which the pattern cannot match; the keyword again if there is none
+    needs: str  # a second word; every match of the pattern has both words of one of its rules. The keyword again if there is none
     pattern: str
     priority: int
     base: bool = False
@@ -36,16 +36,16 @@ class Rule(NamedTuple):
 
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label, keyword that every text with the license's name has, its name, its SPDX words.
+#: label, keywords (every match of the name has one of them, with & both of a pair), its name, its SPDX words.
 LICENSES = [
-    ("gpl-1", "gpl|gnu", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "gpl|gnu|gplv2", r"(?:gnu )?(?:(?:general public license|gpl) (?:version |v)?2(?: 0)?|gplv2)", r"gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "gpl|gnu|gplv3", r"(?:gnu )?(?:(?:general public license|gpl) (?:version |v)?3(?: 0)?|gplv3)", r"gpl 3 0(?: only| or later)?"),
-    ("lgpl-2", "lgpl|gnu|lgplv2", r"(?:gnu )?(?:(?:library general public license|lgpl) (?:version |v)?2(?: 0)?|lgplv2)", r"lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "lgpl|gnu", r"(?:gnu )?(?:lesser general public license|lgpl) (?:version |v)?2 1", r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "lgpl|gnu|lgplv3", r"(?:gnu )?(?:(?:lesser general public license|lgpl) (?:version |v)?3(?: 0)?|lgplv3)", r"lgpl 3 0(?: only| or later)?"),
+    ("gpl-1", "gpl|general&public", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
+    ("gpl-2", "gpl|gplv2|general&public", r"(?:gnu )?(?:(?:general public license|gpl) (?:version |v)?2(?: 0)?|gplv2)", r"gpl 2 0(?: only| or later)?"),
+    ("gpl-3", "gpl|gplv3|general&public", r"(?:gnu )?(?:(?:general public license|gpl) (?:version |v)?3(?: 0)?|gplv3)", r"gpl 3 0(?: only| or later)?"),
+    ("lgpl-2", "lgpl|lgplv2|library&general", r"(?:gnu )?(?:(?:library general public license|lgpl) (?:version |v)?2(?: 0)?|lgplv2)", r"lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl|lesser&general", r"(?:gnu )?(?:lesser general public license|lgpl) (?:version |v)?2 1", r"lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3", "lgpl|lgplv3|lesser&general", r"(?:gnu )?(?:(?:lesser general public license|lgpl) (?:version |v)?3(?: 0)?|lgplv3)", r"lgpl 3 0(?: only| or later)?"),
     ("agpl-3", "agpl|affero|agplv3", r"(?:gnu )?(?:(?:affero general public license|agpl)(?: (?:version |v)?3(?: 0)?)?|agplv3)", r"agpl 3 0(?: only| or later)?"),
-    ("gfdl", "gfdl|gnu", r"(?:gnu )?(?:free documentation license|gfdl)(?: (?:version |v)?1 [123])?", r"gfdl 1 [123](?: only| or later)?"),
+    ("gfdl", "gfdl|documentation&free", r"(?:gnu )?(?:free documentation license|gfdl)(?: (?:version |v)?1 [123])?", r"gfdl 1 [123](?: only| or later)?"),
     ("apache-1.0", "apache", r"apache (?:software )?license (?:version |v)?1 0", r"apache 1 0"),
     ("apache-1.1", "apache", r"apache (?:software )?license (?:version |v)?1 1", r"apache 1 1"),
     ("apache-2.0", "apache", r"apache (?:software )?license (?:version |v)?2(?: 0)?", r"apache 2 0"),
@@ -86,7 +86,7 @@ LICENSES = [
     ("openssl", "openssl", r"openssl license", r"openssl"),
     ("postgresql", "postgresql", r"postgresql license", r"postgresql"),
     ("curl", "curl", r"curl license", r"curl"),
-    ("ofl", "ofl|sil", r"(?:sil )?open font license(?: (?:version )?1 [01])?", r"ofl 1 [01]"),
+    ("ofl", "font&license", r"(?:sil )?open font license(?: (?:version )?1 [01])?", r"ofl 1 [01]"),
     ("odbl", "odbl|database", r"(?:open database license|odbl)(?: 1 0)?", r"odbl 1 0"),
     ("pddl", "pddl|domain", r"(?:public domain dedication and license|pddl)(?: 1 0)?", r"pddl 1 0"),
     ("public-domain", "domain", r"public domain", r"public domain"),
@@ -97,6 +97,38 @@ LICENSES = [
     ("proprietary", "rights|proprietary", r"(?:all rights reserved|proprietary license)", r"licenseref proprietary"),
 ]
 
+_GNU = r"modify it under the terms of the gnu {} as published by the free software foundation (?:either )?version {}"
+#: label, two words that every match has, a sentence of the license's own text or of the notice it asks for.
+BODIES = [
+    ("gpl-1", "modify", "foundation", _GNU.format("general public license", "1")),
+    ("gpl-2", "modify", "foundation", _GNU.format("general public license", "2")),
+    ("gpl-3", "modify", "foundation", _GNU.format("general public license", "3")),
+    ("lgpl-2", "modify", "foundation", _GNU.format("library general public license", "2")),
+    ("lgpl-2.1", "modify", "foundation", _GNU.format("lesser general public license", "2 1")),
+    ("lgpl-3", "modify", "foundation", _GNU.format("lesser general public license", "3")),
+    ("agpl-3", "modify", "foundation", _GNU.format("affero general public license", "3")),
+    ("apache-2.0", "agreed", "writing", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("mit", "permission", "portions", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission", "granted", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", "permission", "granted", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution", "permitted", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", "endorse", "neither", r"neither the names? of (?:[^ ]+ ){1,24}may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", "mentioning", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("mpl-1.1", "contents", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "mozilla", "form", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl", "accompanying", "eclipse", r"the accompanying program is provided under the terms of this eclipse public license"),
+    ("boost", "permission", "organization", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("zlib", "liable", "authors", r"without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "unencumbered", "domain", r"this is free and unencumbered software released into the public domain"),
+    ("cc0", "deed", "dedicated", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("artistic-1.0", "semblance", "artistic", r"the copyright holder maintains some semblance of artistic control"),
+    ("ofl", "permission", "font", r"permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("openssl", "openssl", "toolkit", r"software developed by the openssl project for use in the openssl toolkit"),
+    ("postgresql", "fee", "agreement", r"for any purpose without fee and without a written agreement is hereby granted"),
+    ("python", "psf", "nonexclusive", r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("busl", "licensor", "production", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+]
+
 #: form, priority, pattern around the name (N) or the SPDX words (S).
 FORMS = [
     ("title", 1, "N"),
@@ -124,8 +156,9 @@ def rules() -> list[Rule]:
             if form == "spdx":
                 out.append(Rule(label, "spdx", "identifier", pattern, priority))
             else:
-                out += [Rule(label, k, "license" if label in _NAMED_LICENSE else k, pattern, priority) for k in keywords.split("|")]
-    return out
+                pairs = [k.partition("&") for k in keywords.split("|")]
+                out += [Rule(label, k, second or ("license" if label in _NAMED_LICENSE else k), pattern, priority) for k, _, second in pairs]
+    return out + [Rule(label, keyword, needs, _between_spaces(body), 3) for label, keyword, needs, body in BODIES]
 
 
 def _detections(here: Column, text: Column, table: list[Rule]) -> Column:
