@@ -21,6 +21,9 @@ Two documents link when 100 |A n B| >= 85 |A u B|.
    skipped; pairs of unlinked classes that survive, and survive the bound of
    their finer points, are verified on the texts.
 6. Components over all verified links.
+7. For pairs and numbers of links: all links lie inside components, whose
+   classes meet in salted blocks and are compared there, each pair once; classes
+   count by the number of their documents.
 
 Groups under one shingle are split into blocks (5) or salted (verification),
 never gathered; equal sets and linked classes are never paired again, so a
@@ -297,8 +300,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, kind: str,
     return rows.select("a", "part", "role", "id", "_text").repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
-    """key, n_shingles, component_id of every row."""
+def _resolved(docs: DataFrame, key: str, text: str, size: int, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and every class (n, s1, s2, rep) with its component."""
     kind = docs.schema[key].dataType.simpleString()
     signed = materialize(signatures(docs, key, text, size, num, den), "signatures")
     sets = signed.filter("n > 0 and id is not null")
@@ -332,12 +335,108 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     if not rest.isEmpty():
         linked = materialize(linked.unionByName(_verified(rest, docs, key, text, kind, size, num, den)), "links")
         labels = least_reachable(linked)
-    member = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component"))
-    out = signed.join(member, ["n", "s1", "s2"], "left")
+    member = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("n", "s1", "s2", "rep", F.coalesce("label", "rep").alias("component"))
+    return signed, member
+
+
+def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
+    """key, n_shingles, component_id of every row."""
+    signed, member = _resolved(docs, key, text, size, num, den, block)
+    out = signed.join(member.drop("rep"), ["n", "s1", "s2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _overlaps(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set, how many shingles it shares with every one."""
+    flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    known, place = np.unique(flat, return_inverse=True)
+    mark = np.zeros(len(known), np.int64)
+    for i in range(len(sets)):
+        own = place[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        yield np.add.reduceat(mark[place], starts[:-1])
+        mark[own] = 0
+
+
+def _cell_links(held: list[tuple], bi: int, bj: int, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbers of members (own block, id, weight, set) of a cell, and of those they link with; each ordered pair in one cell."""
+    own, sizes = np.array([x[0] for x in held]), np.array([len(x[3]) for x in held])
+    for i, same in enumerate(_overlaps([x[3] for x in held])):
+        found = den * same >= num * (sizes + sizes[i] - same)
+        found[i] = False
+        if bi != bj:
+            found &= own != own[i]
+        yield i, np.flatnonzero(found)
+
+
+def _linked_cells(docs: DataFrame, classes: DataFrame, key: str, text: str, emit, schema: str, size: int, num: int, den: int, part: int) -> DataFrame:
+    """What emit gives for the links inside components, from classes (rep, component, weight).
+
+    A component's classes are dealt out in salted blocks of `part` members, and
+    each pair of blocks is one group, which holds its members' sets at most.
+    """
+    several = classes.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("component", F.ceil(F.col("m") / part).alias("blocks"))
+    dealt = (
+        classes.join(several, "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        .select("component", F.col("rep").alias("id"), "weight", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+        .select("component", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), "own", "id", "weight")
+    )
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).join(materialize(dealt, "link-cells").hint("shuffle_hash"), "id")
+
+    def run(batches):
+        known, at, held, ids = _WordHashes(), None, [], set()
+        for batch in batches:
+            cells = zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6), strict=True)
+            for component, bi, bj, own, id_, weight, value in cells:
+                if (component, bi, bj) != at:
+                    if len(held) > 1:
+                        yield from emit(held, _cell_links([x[1] for x in held], at[1], at[2], num, den))
+                    at, held, ids = (component, bi, bj), [], set()
+                own_set = shingle_set(value.as_py(), known, size)
+                if id_ not in ids and len(own_set):  # rows that repeat a key are one document
+                    ids.add(id_)
+                    held.append((id_, (own, id_, weight, own_set)))
+        if len(held) > 1:
+            yield from emit(held, _cell_links([x[1] for x in held], at[1], at[2], num, den))
+
+    return rows.select("component", "bi", "bj", "own", "id", "weight", "_text").repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj").mapInArrow(run, schema)
+
+
+def link_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """(a, b), a < b: every pair of distinct sets that links, each set stood for by the smallest key that has it."""
+    kind = docs.schema[key].dataType.simpleString()
+    _, member = _resolved(docs, key, text, size, num, den, block)
+
+    def emit(held, found):
+        for i, others in found:
+            a = held[i][0]
+            bs = [held[j][0] for j in others.tolist() if a < held[j][0]]
+            if bs:
+                yield pa.RecordBatch.from_arrays([pa.array([a] * len(bs)), pa.array(bs)], names=["a", "b"])
+
+    return _linked_cells(docs, member.select("rep", "component", F.lit(1).cast("long").alias("weight")), key, text, emit, f"a {kind}, b {kind}", size, num, den, part)
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """key, n_shingles, component_id, n_links of every row: n_links counts the other documents it links with, those of its own set among them."""
+    kind = docs.schema[key].dataType.simpleString()
+    signed, member = _resolved(docs, key, text, size, num, den, block)
+    weights = signed.filter("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.count_distinct("id").alias("weight"))
+    classes = materialize(member.join(weights, ["n", "s1", "s2"]), "weighted-classes")
+
+    def emit(held, found):
+        weight = np.array([x[1][2] for x in held], np.int64)
+        counts = [int(weight[others].sum()) for _, others in found]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held]), pa.array(counts, pa.int64())], names=["rep", "links"])
+
+    counted = _linked_cells(docs, classes.select("rep", "component", "weight"), key, text, emit, f"rep {kind}, links long", size, num, den, part)
+    told = classes.join(counted.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").select("n", "s1", "s2", "component", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    out = signed.join(told, ["n", "s1", "s2"], "left")
+    n_links = F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), n_links.alias("n_links"))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs whose component they name: one document of each group, with all columns; rows without a key stay."""
     found = link_components(docs, key, text, **options)

@@ -41,6 +41,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_counts(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_ranking": op4_quality_ranking,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op6_ngram_jaccard_links": op6_ngram_jaccard_links,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_secret_ledger": op9_secret_ledger,
