@@ -48,7 +48,7 @@ ADDED = [
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", needs="xox"),
     Rule("map_key", 1, r"AIza[A-Za-z0-9_-]{35}", needs="AIza"),
     Rule("live_key", 1, r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", needs="k_"),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@[A-Za-z0-9.-]+", needs="://"),
+    Rule("url_login", 2, r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/:@]{3,}+@[A-Za-z0-9.-]+", needs="://"),
 ]
 RULES = [*BASE, *ADDED]
 
