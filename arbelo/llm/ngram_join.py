@@ -42,12 +42,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbelo.llm.common import free_name, materialize, space_words
+from arbelo.llm.common import discard, free_name, materialize
 from arbelo.llm.components import least_reachable
+from arbelo.llm.shingles import fingerprint, shingle_sets
 
 SIZE, NUM, DEN = 4, 85, 100
 #: Coordinates of a point.
@@ -55,47 +55,16 @@ GROUPS = 128
 #: Shingles ranked last at most: the broadcast table has 16 bytes for each.
 COMMON = 100_000
 #: Documents of a task among which a shingle is counted, by their shingles; and the count that makes it common.
-COMMON_CHUNK, COMMON_LEAST = 2_000_000, 12
+COMMON_CHUNK, COMMON_LEAST = 4_000_000, 12
 #: Members of a block of an R-tree, and of a salted part of a verification.
-BLOCK, PART = 2_000, 100
+BLOCK, PART = 500, 100
 LEAF = 16
-CACHE_WORDS = 500_000
 
 #: Coordinates of the finer point at most, and counts that its bytes hold at most: a full byte says "that many or more".
 FINE_LEAST, FINE_MOST, FULL, FULL_COARSE = 32, 1 << 16, 127, 32_767
 #: Rows of (pivot, partner) that may be broadcast to the texts, some 40 bytes each; beyond, both sides are shuffled.
 BROADCAST_ROWS = 20_000
 
-_MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: str | None, known: dict, size: int = SIZE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
-    words = space_words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.array([known[w] for w in words], np.uint64)
-    wide = min(size, len(words))
-    last = len(h) - wide + 1
-    out = np.full(last, wide, np.uint64)
-    for k in range(wide):
-        out = out * _MIX[0] + h[k : k + last]
-    return np.unique(_mixed(out))
-
 
 def links(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
     small, large = sorted((len(a), len(b)))
@@ -111,28 +80,31 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
     return n + (-num * n) // den + 1 if n else 0
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that most documents share, sorted, and log2 of how many do; only the order of shingles depends on them."""
+    """The shingles that most documents share, sorted, and log2 of how many do; only the order of shingles depends on them.
+
+    Equal sets of one chunk count once.
+    """
 
     def run(batches):
-        known, held, n = _WordHashes(), [], 0
+        held, seen, n = [], set(), 0
 
         def counted():
             u, c = np.unique(np.concatenate(held), return_counts=True)
             often = c >= COMMON_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(_signed(u[often])), pa.array(c[often].astype(np.int64))], names=["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["shingle", "n"])
 
         for batch in batches:
-            for value in batch.column(0):
-                held.append(shingle_set(value.as_py(), known, size))
-                n += len(held[-1])
+            for own in shingle_sets(batch.column(0), size):
+                if not len(own) or (print_ := (len(own), int(own[0]), int(np.bitwise_xor.reduce(own)))) in seen:
+                    continue
+                seen.add(print_)
+                held.append(own)
+                n += len(own)
                 if n >= COMMON_CHUNK:
                     yield counted()
                     held, n = [], 0
+                    seen.clear()
         if held:
             yield counted()
 
@@ -142,31 +114,41 @@ def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray,
     return shingles[order], np.log2(np.array([r.n for r in rows], np.float64)).astype(np.int64)[order]
 
 
+def _prefix(u: np.ndarray, length: int, common: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the order of (rank, hash): those that are not common, and those that are."""
+    if not len(common) or not len(u):
+        return u[:length], u[:0]
+    at = np.minimum(np.searchsorted(common, u), len(common) - 1)
+    often = common[at] == u
+    rare = u[~often]
+    if len(rare) >= length:
+        return rare[:length], u[:0]
+    known = np.flatnonzero(often)
+    known = known[np.argsort(ranks[at[known]], kind="stable")]
+    return rare, u[known[: length - len(rare)]]
+
+
 def signatures(docs: DataFrame, key: str, text: str, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
     """id, n, s1, s2 (fingerprint), point, fine, prefix and its common shingles (often) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, size))  # COMMON rows at most
 
     def run(batches):
-        known = _WordHashes()
         common, ranks = shared.value
+        zero = np.zeros(1, np.int64)
         for batch in batches:
             n, s1, s2, points, fines, prefixes, often = [], [], [], [], [], [], []
-            for value in batch.column(1):
-                u = shingle_set(value.as_py(), known, size)
+            for u in shingle_sets(batch.column(1), size):
                 n.append(len(u))
-                s1.append(int(_mixed(u ^ _MIX[0]).sum(dtype=np.uint64).view(np.int64)))
-                s2.append(int(_mixed(u ^ _MIX[2]).sum(dtype=np.uint64).view(np.int64)))
-                fine = np.bincount((u >> np.uint64(20)).astype(np.int64) % _fine_groups(len(u)), minlength=_fine_groups(len(u)))
-                points.append(np.minimum(fine.reshape(-1, GROUPS).sum(axis=0) if len(fine) >= GROUPS else np.bincount((u >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS), FULL_COARSE).astype(np.int16))
+                for salt, to in ((0, s1), (2, s2)):
+                    to.append(int(fingerprint(u, zero, salt)[0]) if len(u) else 0)
+                place, groups = (u >> np.uint64(20)).astype(np.int64), _fine_groups(len(u))
+                fine = np.bincount(place % groups, minlength=groups)
+                coarse = fine.reshape(-1, GROUPS).sum(axis=0) if groups >= GROUPS else np.bincount(place % GROUPS, minlength=GROUPS)
+                points.append(np.minimum(coarse, FULL_COARSE).astype(np.int16))
                 fines.append(np.minimum(fine, FULL).astype(np.int8))
-                length, last = prefix_length(len(u), num, den), 0
-                if len(common) and len(u):
-                    at = np.minimum(np.searchsorted(common, u), len(common) - 1)
-                    rank = np.where(common[at] == u, ranks[at], 0)
-                    u = u[np.argsort(rank, kind="stable")]
-                    last = max(0, length - int(np.count_nonzero(rank == 0)))
-                prefixes.append(_signed(u[: length - last]))
-                often.append(_signed(u[length - last : length]))
+                first, last = _prefix(u, prefix_length(len(u), num, den), common, ranks)
+                prefixes.append(first.view(np.int64))
+                often.append(last.view(np.int64))
             offsets = lambda xs: pa.array(np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32))
             columns = ((points, pa.int16()), (fines, pa.int8()), (prefixes, pa.int64()), (often, pa.int64()))
             lists = [pa.ListArray.from_arrays(offsets(xs), pa.array(np.concatenate(xs), kind)) if xs else pa.array([], pa.list_(kind)) for xs, kind in columns]
@@ -282,13 +264,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, kind: str,
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "id")
 
     def run(batches):
-        known, at, sets = _WordHashes(), None, []
+        at, sets = None, []
         for batch in batches:
             a_out, b_out = [], []
-            for a, part, role, other, value in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+            for a, part, role, other, own in zip(*(c.to_pylist() for c in batch.columns[:4]), shingle_sets(batch.column(4), size), strict=True):
                 if (a, part) != at:
                     at, sets = (a, part), []
-                own = shingle_set(value.as_py(), known, size)
                 if role == 0:
                     sets.append(own)
                 elif any(links(own, x, num, den) for x in sets):
@@ -301,7 +282,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, kind: str,
 
 
 def _resolved(docs: DataFrame, key: str, text: str, size: int, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """The signatures of all rows, and every class (n, s1, s2, rep) with its component."""
+    """The sizes and fingerprints of all rows, and every class (n, s1, s2, rep) with its component."""
     kind = docs.schema[key].dataType.simpleString()
     signed = materialize(signatures(docs, key, text, size, num, den), "signatures")
     sets = signed.filter("n > 0 and id is not null")
@@ -309,16 +290,25 @@ def _resolved(docs: DataFrame, key: str, text: str, size: int, num: int, den: in
     reps = materialize(sets.drop("s1", "s2").join(classes.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi"), "class-points")
     points = reps.select("id", "n", "fine")
 
-    # shingles that are not common meet in one shuffle; the common ones, whose groups may be large, by partial minima and a join
-    here = Window.partitionBy("tok")
-    rare = reps.select("id", F.explode("prefix").alias("tok")).withColumns({"pivot": F.min("id").over(here), "other": F.max("id").over(here)}).filter("pivot <> other").select("tok", "id", "pivot")
-    often = reps.select("id", F.explode("often").alias("tok"))
-    pivots = often.groupBy("tok").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).filter("pivot <> other").select("tok", "pivot")
-    shared = materialize(rare.unionByName(often.join(pivots, "tok").select("tok", "id", "pivot")), "shared")
-    tried = materialize(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "tried")
-    stars = materialize(_bounded(tried, points, num, den), "stars")
-    linked = materialize(_verified(stars, docs, key, text, kind, size, num, den), "links")
+    # least and greatest class of each prefix shingle leave the tasks as partial aggregates; of common shingles there are COMMON at most
+    def dealt(column: str, small: bool) -> DataFrame:
+        rows = reps.select("id", F.explode(column).alias("tok"))
+        pivots = rows.groupBy("tok").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).filter("pivot <> other").select("tok", "pivot")
+        return rows.join(F.broadcast(pivots) if small else pivots.hint("shuffle_hash"), "tok").select("tok", "id", "pivot")
+
+    shared = materialize(dealt("prefix", False).unionByName(dealt("often", True)), "shared")
+    tried = materialize(shared.filter("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("c")), "tried")
+
+    # every class is compared with the pivot with which it shares most of its prefix, then with those to whose family that did not bring it
+    best = tried.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
+    near = materialize(_verified(_bounded(best, points, num, den), docs, key, text, kind, size, num, den), "links")
+    family = near.select(F.col("b").alias("v"), F.col("a").alias("f"))
+    family = family.join(family.select(F.col("v").alias("f"), F.col("f").alias("ff")), "f", "left").select("v", F.coalesce("ff", "f").alias("f"))
+    left = tried.join(best, ["a", "b"], "left_anti").join(family.select(F.col("v").alias("a"), F.col("f").alias("fa")), "a", "left").join(family.select(F.col("v").alias("b"), F.col("f").alias("fb")), "b", "left")
+    stars = materialize(_bounded(left.filter(F.coalesce("fa", "a") != F.coalesce("fb", "b")).select("a", "b"), points, num, den), "stars")
+    linked = materialize(near.unionByName(_verified(stars, docs, key, text, kind, size, num, den)), "links")
     labels = least_reachable(linked)
+    discard(near, stars)
 
     placed = shared.join(labels.withColumnRenamed("v", "id"), "id", "left").select("tok", "id", F.coalesce("label", "id").alias("comp"))
     # shingles that the same classes share deal out the same pairs: one of them, by two hashes of their members, is enough
@@ -336,7 +326,10 @@ def _resolved(docs: DataFrame, key: str, text: str, size: int, num: int, den: in
         linked = materialize(linked.unionByName(_verified(rest, docs, key, text, kind, size, num, den)), "links")
         labels = least_reachable(linked)
     member = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("n", "s1", "s2", "rep", F.coalesce("label", "rep").alias("component"))
-    return signed, member
+    member = materialize(member, "class-components")
+    told = materialize(signed.select("id", "n", "s1", "s2"), "set-sizes")
+    discard(signed, classes, reps, shared, tried, rest, linked, labels)
+    return told, member
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
@@ -385,15 +378,14 @@ def _linked_cells(docs: DataFrame, classes: DataFrame, key: str, text: str, emit
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).join(materialize(dealt, "link-cells").hint("shuffle_hash"), "id")
 
     def run(batches):
-        known, at, held, ids = _WordHashes(), None, [], set()
+        at, held, ids = None, [], set()
         for batch in batches:
-            cells = zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6), strict=True)
-            for component, bi, bj, own, id_, weight, value in cells:
+            cells = zip(*(c.to_pylist() for c in batch.columns[:6]), shingle_sets(batch.column(6), size), strict=True)
+            for component, bi, bj, own, id_, weight, own_set in cells:
                 if (component, bi, bj) != at:
                     if len(held) > 1:
                         yield from emit(held, _cell_links([x[1] for x in held], at[1], at[2], num, den))
                     at, held, ids = (component, bi, bj), [], set()
-                own_set = shingle_set(value.as_py(), known, size)
                 if id_ not in ids and len(own_set):  # rows that repeat a key are one document
                     ids.add(id_)
                     held.append((id_, (own, id_, weight, own_set)))
