@@ -430,9 +430,22 @@ def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose component they name: one document of each group, with all columns; rows without a key stay."""
+    """The rows of docs whose component they name: one document of each group, with all columns; rows without a key stay.
+
+    Of rows that repeat a key, which are one document, the one with the longest text stays, then that with the greatest hash of its text.
+    """
     found = link_components(docs, key, text, **options)
-    stay = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_stay")).distinct().hint("shuffle_hash")
+    named = materialize(found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_stay")).agg(F.count(F.lit(1)).alias("rows")), "ngram-stay")
     here = free_name(docs, "_key")
     marked = docs.withColumn(here, F.col(key))
-    return marked.filter(F.col(here).isNotNull()).join(stay, F.col(here) == F.col("_stay"), "left_semi").drop(here).unionByName(docs.filter(F.col(key).isNull()))
+
+    def those(stay: DataFrame) -> DataFrame:
+        stay = stay.select("_stay").hint("shuffle_hash")
+        return marked.filter(F.col(here).isNotNull()).join(stay, F.col(here) == F.col("_stay"), "left_semi")
+
+    out = those(named.filter("rows = 1")).drop(here).unionByName(docs.filter(F.col(key).isNull()))
+    if not (several := named.filter("rows > 1")).isEmpty():
+        order = F.struct(F.length(F.coalesce(F.col(text), F.lit(""))), F.xxhash64(text))
+        one = those(several).groupBy(here).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias(here + "r"))
+        out = out.unionByName(one.select(*[F.col(f"{here}r")[c].alias(c) for c in docs.columns]))
+    return out
