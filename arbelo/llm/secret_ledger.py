@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbelo.llm.common import materialize, new_folder
-from arbelo.llm.spans import match_spans
+from arbelo.llm.spans import bind, match_spans
 
 
 class Rule(NamedTuple):
@@ -58,13 +58,9 @@ _FOUND = "array<struct<start:int,end:int>>"
 def _scan(text: Column, rule: Rule) -> Column:
     spans = match_spans(text, F.lit(rule.pattern))
     if rule.least:
-        parts = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.part))
-        joined = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.length(F.get(parts, i)) >= rule.least).alias("ok")))
-        spans = F.transform(F.filter(joined, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    may = text.rlike(rule.pattern)
-    if rule.needs:
-        may = F.contains(text, F.lit(rule.needs)) & may
-    return F.when(may, spans)
+        parts = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.part)), lambda x: F.length(x) >= rule.least)
+        spans = bind(spans, lambda own: F.when(F.size(own) > 0, F.filter(F.zip_with(own, parts, lambda s, ok: F.when(ok, s)), lambda s: s.isNotNull())).otherwise(own))
+    return F.when(F.contains(text, F.lit(rule.needs)), spans) if rule.needs else spans
 
 
 def _named(spans: Column, rule: str) -> Column:
@@ -109,9 +105,12 @@ def findings(docs: DataFrame, ledger: str, rules: list[Rule] = RULES, key: str =
     spark = docs.sparkSession
     names = F.array(*[F.lit(r.name) for r in rules])
     seen = read(spark, ledger)
-    placed = F.transform(F.flatten(F.collect_list("found")), lambda x: F.struct(x["start"].alias("start"), F.array_position(names, x["rule"]).alias("rank"), x["end"].alias("end"), x["rule"].alias("rule")))
+    placed = F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.array_position(names, x["rule"]).alias("rank"), x["end"].alias("end"), x["rule"].alias("rule")))
     # a table of its own, so that the join below meets plain rows on both sides and a blob with very many paths can be split
-    by_blob = materialize(seen.groupBy("blob").agg(F.array_sort(F.array_distinct(F.filter(placed, lambda x: x["rank"] > 0))).alias("found")), "findings")
+    # two runs at once may have scanned a blob under one rule: equal findings stand side by side once sorted
+    once = lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1)))
+    runs = seen.select("blob", F.filter(placed, lambda x: x["rank"] > 0).alias("found")).groupBy("blob").agg(bind(F.array_sort(F.flatten(F.collect_list("found"))), once).alias("found"))
+    by_blob = materialize(runs, "findings")
     return docs.select(F.col(key), _blob(text).alias("blob")).join(by_blob, "blob", "left").select(key, "found")
 
 
