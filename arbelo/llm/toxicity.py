@@ -2,18 +2,20 @@ r"""Toxicity (operator 2): maximum-scoring segment search over token log-odds.
 
 Fit: of the labelled rows outside the held-out fold, a sample of at most
 `SAMPLE` (a documented bound) gives, for each token, the log-odds of standing in
-a toxic rather than a clean text.  The Dirichlet prior of either class is a
-share of the token's count in both, in proportion to the class, so that it
-shrinks towards no difference.  Tokens whose log-odds are `Z_LEAST` standard
-errors over 0 and `EFFECT_LEAST` of the greatest possible are kept, `TOKENS` at
-most.  Other tokens score `DRIFT`, so that long clean texts tend downwards.
+a toxic rather than a clean text.  A Dirichlet prior of `PRIOR` texts, dealt to
+the classes in proportion to their sizes, draws the log-odds of seldom tokens
+towards zero.  Log-odds of either sign count; those nearer to zero than
+`LEAST_ODDS` count as zero.  A drift, of `DRIFTS` the one under which the
+calibrated scores fit the sample best, is added for every token, so that texts
+without evidence tend downwards.
 
 Scan: a linear pass finds all maximal-scoring segments of a text.  The best
 segment of clean texts follows an extreme-value law whose location grows with
-the logarithm of the length; fitted on the clean sample, it turns a segment's
-score into an excess over chance.  Segments with an excess over `SIGNIFICANT`
+the logarithm of the length.  It is fitted on clean texts whose scores come from
+the log-odds of the sample's other half, since a text's own tokens score it too
+high; it turns a segment's score into an excess over chance.  Segments with an excess over `SIGNIFICANT`
 are toxic passages; their excesses are summed, and a logistic curve fitted on
-the sample turns the sum into a score from 0 to 1.
+the same scores turns the sum into a score from 0 to 1.
 
 Edge cases: null and empty texts have no tokens and get the score of no
 evidence; without labels of both kinds every score is the share of toxic labels
@@ -36,10 +38,9 @@ from pyspark.sql import types as T
 from arbelo.llm.common import alnum_words, fold, free_name, labelled_sample, materialize
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE, TOKENS = 20_000, 50_000
-PRIOR_SHARE, Z_LEAST, DRIFT, SIGNIFICANT = 0.1, 2.4, -0.25, 1.0
-#: Log-odds of a token that counts, as a share of those of a token that only toxic texts have.
-EFFECT_LEAST = 2 / 3
+SAMPLE = 20_000
+PRIOR, LEAST_ODDS, SIGNIFICANT = 5.0, 0.25, 1.0
+DRIFTS = (-0.5, -1.0, -1.5, -2.0, -3.0)
 THRESHOLD = 0.7
 
 
@@ -52,6 +53,7 @@ class Model:
     log_k: float = 0.0  # and its location at length 1, times rate
     slope: float = 0.0
     offset: float = -30.0
+    drift: float = DRIFTS[0]
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -86,9 +88,9 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
-def scan(words: list[bytes], odds: dict[bytes, float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
+def scan(words: list[bytes], odds: dict[bytes, float], drift: float) -> list[tuple[int, int, float]]:
     get = odds.get
-    return segments(np.array([get(w, drift) for w in words])) if words else []
+    return segments(np.fromiter((get(w, 0.0) for w in words), float, len(words)) + drift) if words else []
 
 
 def evidence(found: list[tuple[int, int, float]], n: int, rate: float, log_k: float) -> tuple[float, list[tuple[int, int, float]]]:
@@ -98,27 +100,53 @@ def evidence(found: list[tuple[int, int, float]], n: int, rate: float, log_k: fl
     return sum(x for *_, x in passages), passages
 
 
-def _log_odds(sample: DataFrame) -> dict[bytes, float]:
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log-odds of tokens that stand in so many toxic and clean texts, of so many, under the prior."""
+    share = n_toxic / (n_toxic + n_clean)
+    return np.log((toxic + PRIOR * share) / (clean + PRIOR * (1 - share))) - np.log(share / (1 - share))
+
+
+def _token_counts(sample: DataFrame) -> DataFrame:
+    """(token, t0, c0, t1, c1): in how many toxic and clean texts of either half a token stands; the empty token counts texts."""
+
     def count(batches):
         for batch in batches:
-            by: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                by[min(1, max(0, y))].update(set(tokens(text.as_py())))
-            words = sorted(set(by[0]) | set(by[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([by[1][w] for w in words], pa.int64()), pa.array([by[0][w] for w in words], pa.int64())], names=["token", "c1", "c0"])
-
-    counts = materialize(sample.select("text", "y").mapInArrow(count, "token binary, c1 long, c0 long").groupBy("token").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")), "token-counts")
-    n1, n0 = counts.agg(F.sum("c1"), F.sum("c0")).first()
-    if not n1 or not n0:
-        return {}
-    total = F.col("c1") + F.col("c0")
-    up, down = F.col("c1") + total * (PRIOR_SHARE * n1 / (n1 + n0)), F.col("c0") + total * (PRIOR_SHARE * n0 / (n1 + n0))
-    size1, size0 = n1 * (1 + PRIOR_SHARE), n0 * (1 + PRIOR_SHARE)
-    delta = F.log(up / (size1 - up)) - F.log(down / (size0 - down))
-    share = PRIOR_SHARE * n1 / (n1 + n0)
-    least = EFFECT_LEAST * math.log((1 + share) / share)  # what a token of toxic texts only has
-    kept = counts.select("token", delta.alias("delta"), (delta / F.sqrt(1 / up + 1 / down)).alias("z")).filter((F.col("z") >= Z_LEAST) & (F.col("delta") >= least))
-    return {bytes(r.token): r.delta for r in kept.orderBy(F.desc("z"), "token").limit(TOKENS).collect()}
+            by = [Counter(), Counter(), Counter(), Counter()]
+            for text, y, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                by[2 * half + (y <= 0)].update({b"", *tokens(text.as_py())})
+            words = sorted(set().union(*by))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *[pa.array([own[w] for w in words], pa.int64()) for own in by]], names=["token", "t0", "c0", "t1", "c1"])
+
+    sums = [F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")]
+    return materialize(sample.select("text", "y", "half").mapInArrow(count, "token binary, t0 long, c0 long, t1 long, c1 long").groupBy("token").agg(*sums), "token-counts")
+
+
+def _odds(counts: DataFrame) -> tuple[list[dict[bytes, float]], dict[bytes, float]]:
+    """Log-odds by either half of the sample, and by all of it; tokens of small log-odds in all three are left out in Spark."""
+    total = counts.filter(F.length("token") == 0).first()
+    if total is None:
+        return [{}, {}], {}
+    sides = [(("t0",), ("c0",)), (("t1",), ("c1",)), (("t0", "t1"), ("c0", "c1"))]
+    ends = [[sum(total[c] for c in side) for side in both] for both in sides]
+    if any(not x for both in ends for x in both):
+        ends[:2] = [ends[2], ends[2]]  # a class that one half lacks: both halves learn from all
+        sides[:2] = [sides[2], sides[2]]
+    if any(not x for x in ends[2]):
+        return [{}, {}], {}
+    strong = F.lit(False)
+    for (t, c), (n1, n0) in zip(sides, ends, strict=True):
+        share = n1 / (n1 + n0)
+        up, down = (sum((F.col(x) for x in side[1:]), F.col(side[0])) for side in (t, c))
+        strong = strong | (F.abs(F.log((up + PRIOR * share) / (down + PRIOR * (1 - share))) - math.log(share / (1 - share))) >= LEAST_ODDS)
+    rows = counts.filter((F.length("token") > 0) & strong).toArrow()
+    words = [bytes(w) for w in rows.column("token").to_pylist()]
+    column = lambda names: sum(rows.column(c).to_numpy() for c in names)
+    out = []
+    for (t, c), (n1, n0) in zip(sides, ends, strict=True):
+        delta = log_odds(column(t), column(c), n1, n0)
+        keep = np.flatnonzero(np.abs(delta) >= LEAST_ODDS)
+        out.append({words[i]: float(delta[i]) for i in keep.tolist()})
+    return out[:2], out[2]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -144,27 +172,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    sample = materialize(labelled_sample(docs, labels, label, HELD_OUT, FOLDS, SAMPLE, key, text), "toxic-sample")
-    odds = _log_odds(sample)
-    shared = sample.sparkSession.sparkContext.broadcast(odds)
+    sample = labelled_sample(docs, labels, label, HELD_OUT, FOLDS, SAMPLE, key, text)
+    sample = materialize(sample.select("text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")), "toxic-sample")
+    halves, odds = _odds(_token_counts(sample))
+    shared = sample.sparkSession.sparkContext.broadcast(halves)
 
     def best(batches):
         for batch in batches:
             rows = [tokens(x.as_py()) for x in batch.column(0)]
-            found = [[s for *_, s in scan(w, shared.value)] for w in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(w) for w in rows], pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["y", "n", "scores"])
+            sides = batch.column(2).to_pylist()
+            found = [[[s for *_, s in scan(w, shared.value[1 - half], drift)] for w, half in zip(rows, sides, strict=True)] for drift in DRIFTS]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(w) for w in rows], pa.int64()), *[pa.array(own, pa.list_(pa.float64())) for own in found]], names=["y", "n", *names])
 
-    rows = sample.select("text", "y").mapInArrow(best, "y int, n long, scores array<double>").limit(SAMPLE).collect()
-    y = np.array([min(1, max(0, r.y)) for r in rows], float)
+    names = [f"d{i}" for i in range(len(DRIFTS))]
+    rows = sample.select("text", "y", "half").mapInArrow(best, "y int, n long, " + ", ".join(f"{c} array<double>" for c in names)).toArrow()  # SAMPLE rows at most
+    y = np.clip(rows.column("y").to_numpy(), 0, 1).astype(float)
     if not len(y) or not 0 < y.mean() < 1:
         share = float(y.mean()) if len(y) else 0.0
         return Model(offset=math.log((share + 1e-13) / (1 - share + 1e-13)))
-    clean = [r for r in rows if r.y <= 0]
-    tops, logs = np.array([max(r.scores, default=0.0) for r in clean]), np.log([max(r.n, 1) for r in clean])
-    rate = math.pi / math.sqrt(6) / max(float(tops.std()), 0.25)
-    log_k = rate * float(tops.mean()) - 0.5772156649 - float(logs.mean())
-    x = np.array([math.log1p(evidence([(0, 0, s) for s in r.scores], r.n, rate, log_k)[0]) for r in rows])
-    return Model(odds, rate, log_k, *_logistic(x, y))
+    logs = np.log(np.maximum(rows.column("n").to_numpy(), 1))
+    tried = []
+    for drift, name in zip(DRIFTS, names, strict=True):
+        lists = rows.column(name).combine_chunks()
+        flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
+        tops = np.zeros(len(y))
+        np.maximum.at(tops, owner, flat)
+        clean = y == 0
+        rate = math.pi / math.sqrt(6) / max(float(tops[clean].std()), 0.25)
+        log_k = rate * float(tops[clean].mean()) - 0.5772156649 - float(logs[clean].mean())
+        excess = rate * flat - log_k - logs[owner]
+        x = np.log1p(np.bincount(owner, np.where(excess > SIGNIFICANT, excess, 0.0), len(y)))
+        slope, offset = _logistic(x, y)
+        z = slope * x + offset
+        tried.append((float((np.logaddexp(0, z) - y * z).sum()), Model(odds, rate, log_k, slope, offset, drift)))
+    return min(tried, key=lambda t: t[0])[1]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("score", "passages")) -> DataFrame:
@@ -180,7 +221,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, st
             scores, spans = [], []
             for value in batch.column(batch.num_columns - 1):
                 words = tokens(value.as_py())
-                total, passages = evidence(scan(words, m["odds"]), len(words), m["rate"], m["log_k"])
+                total, passages = evidence(scan(words, m["odds"], m["drift"]), len(words), m["rate"], m["log_k"])
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m["slope"] * math.log1p(total) + m["offset"])))))
                 spans.append([{"start": a, "end": b, "excess": x} for a, b, x in passages])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(spans, kind)], names=schema.names)

@@ -73,3 +73,25 @@ def test_odd_rows(spark, odd, none):
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
     one_kind = labels.filter("toxic = 0")
     assert toxicity.report(odd, one_kind).count() == odd.count()
+
+
+def test_log_odds_are_signed_and_shrunken():
+    odds = toxicity.log_odds(np.array([0, 1, 5, 50, 0, 10]), np.array([0, 0, 0, 0, 50, 90]), 100, 900)
+    assert abs(odds[0]) < 1e-9 and 0 < odds[1] < odds[2] < odds[3] and odds[4] < -1 and abs(odds[5]) < 0.1
+
+
+def test_chance_excess_of_clean_texts_is_calibrated(spark):
+    """Clean texts that the fit has not seen rarely have a significant passage, whatever their own words."""
+    docs, labels, truth = corpus(spark, 900)
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).withColumn("held", toxicity.fold("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT).filter("held").collect()
+    clean = [r for r in rows if not truth[r.doc_id]]
+    assert sum(bool(r.passages) for r in clean) <= 0.4 * len(clean) and all(r.score < toxicity.THRESHOLD for r in clean)
+    assert sum(bool(r.passages) for r in rows if truth[r.doc_id]) >= 0.95 * (len(rows) - len(clean))
+
+
+def test_repeated_documents_count_once(spark):
+    docs, labels, truth = corpus(spark)
+    many = docs.unionByName(docs).unionByName(docs)
+    rows = [r for r in toxicity.report(many, labels).collect() if r.held_out]
+    assert len(rows) > 300 and sum(r.predicted == truth[r.doc_id] for r in rows) >= 0.98 * len(rows)
