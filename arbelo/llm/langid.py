@@ -1,8 +1,8 @@
 r"""Language ID (operator 10): script ranges, word scores, and a Viterbi pass with a switching penalty.
 
 Fit: a sample of `SAMPLE` labelled rows (give or take their square root)
-outside the held-out fold, a documented bound, gives the counts of letter n-grams per language, the
-commonest `GRAMS` of them.  A word's score for a language is the sum of its
+outside the held-out fold, a documented bound, gives the counts of letter
+n-grams per language; those that fewer than `GRAM_LEAST` words of it hold count as unseen.  A word's score for a language is the sum of its
 n-grams' log-probabilities; only languages that write the word's script (by
 ranges of code points) are candidates.  Over the words of a text, Viterbi finds
 the best sequence of languages when each switch costs `SWITCH`; runs of one
@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +29,11 @@ from pyspark.sql import types as T
 from arbelo.llm.common import fold, free_name, materialize
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE, GRAMS, SWITCH = 8_000, 60_000, 12.0
+SAMPLE, GRAM_LEAST, SWITCH = 8_000, 5, 12.0
 SCRIPT_LEAST = 0.001  # share of a language's letters that makes it write a script
 UNDETERMINED = "und"
 CACHE_WORDS, BATCH_WORDS = 300_000, 300_000
+WALL = 1e4  # more than a run of one text may cross for a gain
 
 #: First and last code point of ranges of scripts.
 SCRIPTS = [
@@ -42,10 +44,16 @@ SCRIPTS = [
 ]
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Numerals count as word characters there, but are no letters: such runs are cut again.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, in lower case."""
+    if not text:
+        return []
+    found = _WORD.findall(text.lower())
+    return found if text.isascii() or all(map(str.isalpha, found)) else [x for w in found for x in ([w] if w.isalpha() else _LETTERS.findall(w))]
 
 
 def script(word: str) -> str:
@@ -79,8 +87,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["l", "g", "n"])
 
     counts = materialize(chosen.select("t", "l").mapInArrow(count, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "gram-counts")
-    top = counts.filter(F.col("g").startswith("g")).groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(GRAMS)
-    rows = counts.join(F.broadcast(top.select("g")), "g").collect()
+    # n-grams of one to three letters, of a bounded sample: the table is bounded too
+    top = counts.filter(F.col("g").startswith("g")).groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= GRAM_LEAST)
+    rows = counts.join(top.select("g"), "g").collect()
     scripts = counts.filter(F.col("g").startswith("s")).collect()  # languages x scripts
     langs = sorted({r.l for r in scripts})
     at = {l: i for i, l in enumerate(langs)}
@@ -124,6 +133,31 @@ class Labeller:
                 total[np.ix_(these, np.flatnonzero(~own))] = -1e6
         self.scores = np.vstack([self.scores, total])
 
+    def _settled(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """For each text the language that all its words have on the best path, or -1 where only a pass can tell.
+
+        Against one language throughout, a path gains only in its runs of other
+        languages, and pays a switch for all runs but one; so if no run gains
+        more than half a switch, no path does better.
+        """
+        table = self.scores
+        totals = np.add.reduceat(table[flat], starts, axis=0)
+        best = totals.argmax(axis=1)
+        lens = np.diff(np.append(starts, len(flat)))
+        text = np.repeat(np.arange(len(starts)), lens)
+        base = table[flat, best[text]]
+        most = np.zeros(len(starts))
+        apart = starts + np.arange(len(starts))  # a wall before each text
+        place = np.arange(len(flat)) + text + 1
+        run = np.empty(len(flat) + len(starts))
+        for lang in range(table.shape[1]):
+            run[apart] = -WALL
+            run[place] = np.maximum(table[flat, lang] - base, -WALL)
+            total = np.cumsum(run)
+            gain = total - np.minimum.accumulate(total)  # of the best run that ends here
+            most = np.maximum(most, np.maximum.reduceat(gain, apart))
+        return np.where(most <= self.switch / 2, best, -1)
+
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each list of words, the number of the language of each word."""
         if len(self.known) > CACHE_WORDS:
@@ -131,19 +165,32 @@ class Labeller:
         new = list({w for t in texts for w in t if w not in self.known})
         if new:
             self._learn(new)
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        rows = [np.array([self.known[w] for w in texts[i]], np.int64) for i in order]
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
-        if not rows or not len(rows[0]):
+        some = [i for i, t in enumerate(texts) if t]
+        if not some:
             return out
-        table = self.scores
+        get = self.known.__getitem__
+        rows = {i: np.fromiter(map(get, texts[i]), np.int64, len(texts[i])) for i in some}
+        lens = np.array([len(rows[i]) for i in some])
+        settled = self._settled(np.concatenate([rows[i] for i in some]), np.concatenate(([0], np.cumsum(lens)))[:-1])
+        for i, lang in zip(some, settled.tolist(), strict=True):
+            if lang >= 0:
+                out[i] = np.full(len(rows[i]), lang, np.int64)
+        left = sorted((i for i, lang in zip(some, settled, strict=True) if lang < 0), key=lambda i: -len(rows[i]))
+        if left:
+            for i, path in zip(left, self._viterbi([rows[i] for i in left]), strict=True):
+                out[i] = path
+        return out
+
+    def _viterbi(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """The best paths of texts, longest first; all are advanced by one word at a time."""
+        table, n = self.scores, len(rows)
         lens = np.array([len(r) for r in rows])
-        n = int(np.count_nonzero(lens))
-        starts = np.concatenate(([0], np.cumsum(lens[:n])))[:-1]
-        flat = np.concatenate(rows[:n])
-        alive = np.searchsorted(-lens[:n], -np.arange(lens[0]), side="left")  # texts with more than t words
+        starts = np.concatenate(([0], np.cumsum(lens)))[:-1]
+        flat = np.concatenate(rows)
+        alive = np.searchsorted(-lens, -np.arange(lens[0]), side="left")  # texts with more than t words
         best = table[flat[starts]]
-        stay, came = [], []
+        stay, came = np.empty((len(flat), table.shape[1]), bool), np.empty(len(flat), np.int16)  # back pointers of every word
         ends = np.empty(n, np.int64)
         for t in range(1, int(lens[0])):
             k = int(alive[t])
@@ -153,26 +200,18 @@ class Labeller:
             top = best.argmax(axis=1)
             moved = best[np.arange(k), top] - self.switch
             keep = best >= moved[:, None]
-            stay.append(keep)
-            came.append(top.astype(np.int16))
+            stay[starts[:k] + t], came[starts[:k] + t] = keep, top
             best = np.where(keep, best, moved[:, None]) + table[flat[starts[:k] + t]]
         ends[: len(best)] = best.argmax(axis=1)
         path = np.empty(len(flat), np.int64)
         state = np.empty(n, np.int64)
         for t in range(int(lens[0]) - 1, -1, -1):
-            k = int(alive[t])
-            if t + 1 < lens[0]:
-                j = int(alive[t + 1])
-                s = state[:j]
-                kept = stay[t][np.arange(j), s]
-                state[:j] = np.where(kept, s, came[t])
-            else:
-                j = 0
+            k, j = int(alive[t]), int(alive[t + 1]) if t + 1 < lens[0] else 0
+            if j:
+                state[:j] = np.where(stay[starts[:j] + t + 1, state[:j]], state[:j], came[starts[:j] + t + 1])
             state[j:k] = ends[j:k]
             path[starts[:k] + t] = state[:k]
-        for i, r, a in zip(order[:n], rows, starts, strict=False):
-            out[i] = path[a : a + len(r)]
-        return out
+        return [path[a : a + m] for a, m in zip(starts, lens, strict=True)]
 
 
 def label(docs: DataFrame, model: dict, text: str = "text", into: tuple[str, str, str] = ("lang_pred", "score", "lang_spans"), switch: float = SWITCH) -> DataFrame:

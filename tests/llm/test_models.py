@@ -61,6 +61,33 @@ def test_viterbi_finds_the_best_path():
         assert abs(own - brute_viterbi(scores, 1.5)[0]) < 1e-9
 
 
+def path_score(scores, path, switch):
+    return sum(scores[i, p] for i, p in enumerate(path)) - switch * np.count_nonzero(np.diff(path))
+
+
+def test_settled_texts_have_the_best_path_too():
+    rng = np.random.default_rng(8)
+    words, settled = [f"w{i}" for i in range(12)], 0
+    for _ in range(40):
+        labeller = langid.Labeller({"langs": ["a", "b", "c"], "grams": {}, "unseen": np.zeros(3), "scripts": {}}, 4.0)
+        labeller.scores = rng.normal(size=(len(words), 3)) + np.array([rng.uniform(0, 3), 0, 0])
+        labeller.known = {w: i for i, w in enumerate(words)}
+        texts = [list(rng.choice(words, size=rng.integers(1, 8))) for _ in range(12)]
+        rows = [np.array([labeller.known[w] for w in t]) for t in texts]
+        settled += np.count_nonzero(labeller._settled(np.concatenate(rows), np.cumsum([0, *map(len, rows)])[:-1]) >= 0)
+        for text, path in zip(texts, labeller.label(texts), strict=True):
+            scores = np.array([labeller.scores[labeller.known[w]] for w in text])
+            assert abs(path_score(scores, path, 4.0) - brute_viterbi(scores, 4.0)[0]) < 1e-9
+    assert 100 < settled < 480
+
+
+def test_letterless_texts_have_no_language(spark):
+    docs = spark.createDataFrame([(i, "plain words of one kind", "en") for i in range(40)] + [(100, "½ ²", "en"), (101, "Ⅷ ① 12", None), (102, "_ 7", None), (103, "ab½cd", None)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in langid.report(docs).collect()}
+    assert [found[k] for k in (100, 101, 102, 103)] == ["und", "und", "und", "en"]
+    assert langid.words("ab½Cd Ⅷ é1") == ["ab", "cd", "é"]
+
+
 def test_language_on_held_out_rows_and_mixed_spans(spark, odd, none):
     rng, rows = random.Random(4), []
     sounds = {"aa": ["ba", "ko", "ri"], "bb": ["thu", "sch", "ent"], "ru": ["да", "ни", "то"]}
