@@ -74,8 +74,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: in
     """(key, text, y) of at most about `bound` labelled rows outside the fold `held_out`, chosen by a hash of the key.
 
     A key labelled more than once counts once, with its largest label; rows
-    without a key, text or label are left out.  The chosen keys number `bound`
-    at most, so they can be broadcast; texts stay in Spark.
+    without a key, text or label are left out; of rows that repeat a key the one
+    with the least text counts.  The chosen keys number `bound` at most, so they
+    can be broadcast; texts stay in Spark.
     """
     keys = (
         labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
@@ -84,4 +85,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: in
         .orderBy(F.xxhash64("k"), "k").limit(bound)
     )
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    return rows.join(F.broadcast(keys), "k").select(F.col("k").alias("doc_id"), F.col("t").alias("text"), "y")
+    return rows.join(F.broadcast(keys), "k").groupBy("k", "y").agg(F.min("t").alias("t")).select(F.col("k").alias("doc_id"), F.col("t").alias("text"), "y")

@@ -31,6 +31,7 @@ from arbelo.llm.common import fold, free_name, labelled_sample
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE, PARTNERS, BINS, RIDGE = 12_000, 16, 12, 1e-3
+PAIRS = 4_000
 THRESHOLD = 0.7
 
 _PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
@@ -58,7 +59,7 @@ def measure(text: str | None) -> list[float]:
 
 def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     """One column per bin edge: whether a measure exceeds it."""
-    return np.column_stack([x[:, [i]] > e[None, :] for i, e in enumerate(edges)]).astype(np.float64) if edges else np.zeros((len(x), 0))
+    return np.column_stack([x[:, [i]] > e[None, :] for i, e in enumerate(edges)]).astype(np.int8) if edges else np.zeros((len(x), 0), np.int8)
 
 
 def bradley_terry(features: np.ndarray, y: np.ndarray, partners: int = PARTNERS, ridge: float = RIDGE, seed: int = 7) -> np.ndarray:
@@ -68,12 +69,15 @@ def bradley_terry(features: np.ndarray, y: np.ndarray, partners: int = PARTNERS,
     few, many = (bad, good) if len(bad) <= len(good) else (good, bad)
     a = np.repeat(few, partners)
     b = rng.permutation(np.resize(many, max(len(many), len(a))))[: len(a)]
-    diff = features[b] - features[a] if few is bad else features[a] - features[b]
+    better, worse = (b, a) if few is bad else (a, b)
     w = np.zeros(features.shape[1])
     for _ in range(30):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        grad = diff.T @ p - ridge * len(diff) * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff + ridge * len(diff) * np.eye(len(w))
+        grad, hess = -ridge * len(a) * w, ridge * len(a) * np.eye(len(w))
+        for i in range(0, len(a), PAIRS):  # differences of some pairs at a time
+            diff = features[better[i : i + PAIRS]].astype(np.float32) - features[worse[i : i + PAIRS]]
+            p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
+            grad += diff.T @ p
+            hess += (diff * (p * (1 - p))[:, None].astype(np.float32)).T @ diff
         step = np.linalg.solve(hess, grad)
         w = w + step
         if np.abs(step).max() < 1e-6:
@@ -90,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([measure(x.as_py()) for x in batch.column(0)], pa.list_(pa.float64())), batch.column(2)], names=["y", "x", "k"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("text", "y", "doc_id").mapInArrow(run, f"y int, x array<double>, k {kind}").limit(2 * SAMPLE).collect()
+    rows = sample.select("text", "y", "doc_id").mapInArrow(run, f"y int, x array<double>, k {kind}").collect()  # SAMPLE rows at most
     rows.sort(key=lambda r: (r.k, r.y, r.x))  # the same pairs whatever order tasks end in
     y = np.array([int(r.y > 0) for r in rows])
     if not len(y) or not 0 < y.mean() < 1:
@@ -100,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     edges = [np.unique(np.concatenate((e, np.quantile(x[:, i][x[:, i] > 0], [0.05, 0.25, 0.5]) if (x[:, i] > 0).any() else [], [0.0]))) for i, e in enumerate(edges)]
     features = _binned(x, edges)
     w = bradley_terry(features, y)
-    rank = features @ w
+    rank = features.astype(np.float32) @ w
     order = np.sort(rank)
     k = int((y == 0).sum())
     cut = float((order[k - 1] + order[min(k, len(order) - 1)]) / 2)
