@@ -3,18 +3,21 @@ r"""WARC writer and reader (operator 3): deterministic, sharded, sorted by key.
 Writing: payload digests are grouped (partial minima, no payload moves) to find
 the response of each payload; pages and these decisions meet in one shuffle by
 shard, where both are sorted by key.  Shards are ranges of the key, cut on a
-histogram of bytes of fixed size, so the same table gives the same shards.  A
+histogram of bytes: ranges that hold more than a shard's bytes are cut again by
+the key's lower bits, single keys by the payload's digest, so an outlying or
+very frequent key spoils nothing, and the same table gives the same shards.  A
 task writes its shard as gzip members, one per record, with headers and digests
 made anew, and rolls to a new file once `roll_bytes` compressed bytes are
 written.  Files get a temporary name and are renamed when complete; a repeated
 task writes the same bytes under the same name.  Their names, sizes, record
 counts and SHA-256 form the manifest, a Parquet table written last: an archive
-without it is incomplete.
+without it is incomplete.  Temporary files of lost attempts go after that.
 
 Reading: tasks stream the files of the manifest, check every file's SHA-256 and
 every block's digest, and return a row per record.
 
-Paths go through pyarrow.fs (file, hdfs, s3, gs).  Edge cases: null html is an
+Tasks open paths through pyarrow.fs (file, hdfs, s3, gs, abfs; s3a and s3n are
+read as s3), since Python workers have no Hadoop file system.  Edge cases: null html is an
 empty payload; of equal payloads the smallest key is the response (null keys are
 never referred to unless all are null, then each is a response); rows that
 repeat a key and payload: the first is the response, the rest refer to that key;
@@ -35,12 +38,14 @@ import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbelo.llm.common import new_folder
+from arbelo.llm.common import discard, materialize, new_folder
 
 #: Bytes of payload a shard is meant to hold, and compressed bytes after which a file ends.
-SHARD_BYTES, ROLL_BYTES = 32 << 20, 64 << 20
-#: Ranges of the histogram: the driver holds a row for each, and shards number no more.
-BINS = 32_768
+SHARD_BYTES, ROLL_BYTES = 256 << 20, 32 << 20
+#: Ranges of one level of the histogram: the driver holds a row for each.
+BINS = 1 << 15
+#: Bits of the digest that cut a single key.
+DIGEST_BITS = 16
 LEVEL = 4
 DATE = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")  # of every record: the same input gives the same bytes
 
@@ -49,7 +54,8 @@ RECORDS = "key string, url string, payload_bytes long, payload_digest string, re
 
 
 def _filesystem(uri: str) -> tuple[pfs.FileSystem, str]:
-    return pfs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return pfs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def sha1_base32(data: bytes) -> str:
@@ -122,68 +128,101 @@ class _Roller:
         self.done.append((self.name, self.shard, self.records, self.bytes, self.hash.hexdigest()))
 
 
-def _shards(digests: DataFrame, shard_bytes: int) -> tuple[int, int, list[tuple[int, int]], int]:
-    """Smallest key, width of a bin, the shard of each bin, and the number of shards; at most BINS bins come to the driver."""
+def _cut(digests: DataFrame, shard_bytes: int) -> tuple[list[tuple[int, bool, DataFrame]], int]:
+    """Tables (at, shard) by level of the histogram, with the level's shift and whether it cuts digests, and the number of shards.
+
+    `at` is a key without its lower `shift` bits; on the last level, with the
+    upper bits of the digest behind it as text.  A row falls on one level.
+    """
+    spark = digests.sparkSession
     lo, hi = digests.agg(F.min("key"), F.max("key")).first()
-    if lo is None:
-        return 0, 1, [(0, 0)], 1
-    width = max(1, -(-(hi - lo + 1) // BINS))
-    bins = digests.groupBy(_bin(lo, width).alias("bin")).agg(F.sum("size").alias("size")).collect()
-    out, shard, held = [], 0, 0
-    for bin_, size in sorted((r.bin, r.size) for r in bins):
+    lo, hi = (0, 0) if lo is None else (lo, hi)
+    shift = next(k for k in range(64) if (hi >> k) - (lo >> k) < BINS)
+    levels, leaves, open_, by_digest = [], [], None, False
+    rows = digests.withColumn("key", F.coalesce("key", F.lit(lo)))
+    while True:
+        at = _at(shift, by_digest)
+        own = rows.withColumn("at", at)
+        if open_ is not None:
+            own = own.withColumn("above", _at(above, False)).join(F.broadcast(spark.createDataFrame([(str(x),) for x in open_], "above string")), "above")
+        bins = own.groupBy("at").agg(F.sum("size").alias("size"), F.min("key").alias("first")).collect()
+        level = len(levels)
+        levels.append((shift, by_digest))
+        large = [] if by_digest else [r for r in bins if r["size"] > shard_bytes]
+        taken = {r["at"] for r in large}
+        leaves += [((r["first"], r["at"] if by_digest else ""), level, r["at"], r["size"]) for r in bins if r["at"] not in taken]
+        if not large:
+            break
+        open_, above = [int(r["at"]) for r in large], shift
+        bits = max(5, 20 - len(open_).bit_length())
+        shift, by_digest = max(0, shift - bits), shift == 0
+    shard, held, named = 0, 0, [[] for _ in levels]
+    for _, level, at, size in sorted(leaves):
         if held and held + size > shard_bytes:
             shard, held = shard + 1, 0
         held += size
-        out.append((bin_, shard))
-    return lo, width, out, shard + 1
+        named[level].append((at, shard))
+    return [(shift, by_digest, spark.createDataFrame(own, "at string, shard long")) for (shift, by_digest), own in zip(levels, named, strict=True)], shard + 1
+
+
+def _at(shift: int, by_digest: bool):
+    """The bin of a row (key, digest) on one level."""
+    kept = F.shiftright("key", shift).cast("string")
+    return F.concat(kept, F.lit(":"), F.substring(F.hex("digest"), 1, DIGEST_BITS // 4)) if by_digest else kept
 
 
-def _bin(lo: int, width: int):
-    """The bin of a key; rows without a key go with the first ones."""
-    return F.floor((F.coalesce(F.col("key"), F.lit(lo)) - lo) / width)
+def _with_shard(rows: DataFrame, levels: list[tuple[int, bool, DataFrame]], lo: int) -> DataFrame:
+    key = rows.withColumns({"own": F.col("key"), "key": F.coalesce("key", F.lit(lo))})
+    found = []
+    for k, (shift, by_digest, table) in enumerate(levels):
+        key = key.withColumn("at", _at(shift, by_digest)).join(F.broadcast(table.withColumnRenamed("shard", f"shard{k}")), "at", "left").drop("at")
+        found.append(f"shard{k}")
+    return key.withColumns({"shard": F.coalesce(*found), "key": F.col("own")}).drop("own", *found)
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes the archive of pages (key: an integer) into a new folder and returns its manifest."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("body"))
-    digests = rows.select("key", F.unhex(F.sha1("body")).alias("digest"), F.length("body").alias("size"))
-    lo, width, bins, shards = _shards(digests, shard_bytes)
+    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("body")).withColumn("digest", F.unhex(F.sha1("body")))
     spark = pages.sparkSession
-    shard_of = F.broadcast(spark.createDataFrame(bins, "bin long, shard long"))  # BINS rows at most
+    digests = materialize(rows.select("key", "digest", F.length("body").cast("long").alias("size")), "warc-digests")
+    levels, shards = _cut(digests, shard_bytes)
+    lo = digests.agg(F.min("key")).first()[0]
     firsts = digests.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select("digest", "first")
-    decided = digests.join(firsts, "digest").select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), F.col("digest"), "first").distinct()
-    both = rows.select("key", "url", "body", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("first")).unionByName(decided)
-    dealt = both.withColumn("bin", _bin(lo, width)).join(shard_of, "bin").drop("bin").repartition(shards, "shard").sortWithinPartitions("shard", "key", F.col("body").isNotNull(), "url", "body")
+    decided = digests.join(firsts, "digest").select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "digest", "first").distinct()
+    both = rows.select("key", "url", "body", "digest", F.lit(None).cast("long").alias("first")).unionByName(decided)
+    # the decision on a digest comes before the bodies that have it
+    dealt = _with_shard(both, levels, 0 if lo is None else lo).repartition(shards, "shard").sortWithinPartitions("shard", "key", "digest", F.col("body").isNotNull(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, at, known, seen = None, (None,), {}, {}
+        roller, at, first, n = None, (None,), None, -1
         for batch in batches:
             names = batch.schema.names
             cols = [batch.column(names.index(c)) for c in ("shard", "key", "url", "body", "digest", "first")]
             for i in range(batch.num_rows):
-                s, k, u, b, d, first = (c[i].as_py() for c in cols)
-                if (s, k) != at:
-                    if roller is not None and at[0] != s:
-                        roller.close()
-                        yield _manifest(roller.done)
-                        roller = None
-                    at, known, seen = (s, k), {}, {}
+                s, k, u, b, d, refers = (c[i].as_py() for c in cols)
+                if roller is not None and at[0] != s:
+                    roller.close()
+                    yield _manifest(roller.done)
+                    roller = None
+                if (s, k, d) != at:
+                    at, first, n, shared = (s, k, d), None, -1, False
                 if b is None:
-                    known[d] = first
+                    first, shared = refers, True
                     continue
                 if roller is None:
                     roller = _Roller(folder, s, roll_bytes)
-                own = hashlib.sha1(b).digest()
-                n = seen[own] = seen.get(own, -1) + 1
-                first = known.get(own)
-                original = own not in known or (first == k and n == 0)
+                n += 1
+                original = not shared or (first == k and n == 0)
                 roller.write(_member(record(None if k is None else str(k), u, b, None if original else str(first), original, n)))
         if roller is not None:
             roller.close()
             yield _manifest(roller.done)
 
     dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    discard(digests)
+    left = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_temporary")
+    left.getFileSystem(spark._jsc.hadoopConfiguration()).delete(left, True)
     return read_manifest(spark, folder)
 
 

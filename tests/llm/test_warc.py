@@ -46,7 +46,7 @@ def test_same_bytes_whatever_the_partitions(spark, pages):
         folder = new_folder(spark, "warc")
         names = [r.name for r in warc.write(df, folder, shard_bytes=5_000, roll_bytes=400).collect()]
         root = folder.removeprefix("file://")
-        assert not os.listdir(f"{root}/_temporary")
+        assert not os.path.exists(f"{root}/_temporary")
         return {n: open(f"{root}/{n}", "rb").read() for n in names}
 
     a, b = files(pages), files(pages.repartition(7))
@@ -68,3 +68,21 @@ def test_damage_is_found(spark, pages):
 
 def test_no_pages(pages):
     assert warc.report(pages.filter("1 = 0")).count() == 0
+
+
+def test_outlying_and_frequent_keys_are_cut_too(spark):
+    rows = [(i, "u", f"<p>{i}</p>") for i in range(300)] + [(2**62, "u", "far"), (-(2**62), "u", "near"), (2**62, "u", "far")] + [(77, "u", f"<b>{i}</b>") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    folder = new_folder(spark, "warc")
+    manifest = warc.write(df, folder, shard_bytes=400, roll_bytes=1 << 20).collect()
+    assert len({r.shard for r in manifest}) > 10 and max(r.records for r in manifest) < 120
+    found = warc.read(spark, folder).collect()
+    assert len(found) == len(rows)
+    got = sorted((tuple(r) for r in warc.report(df, shard_bytes=400).collect()), key=str)
+    assert got == brute([(k, h) for k, _, h in rows])
+
+
+def test_files_roll_inside_a_shard(spark):
+    df = spark.createDataFrame([(i, "u", f"{i * 7919 % 10007} " * 40) for i in range(400)], "page_id long, url string, html string")
+    manifest = warc.write(df, new_folder(spark, "warc"), roll_bytes=4_000).collect()
+    assert len({r.shard for r in manifest}) == 1 and len(manifest) > 5 and sum(r.records for r in manifest) == 400
