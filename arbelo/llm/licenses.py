@@ -2,8 +2,9 @@ r"""License scans (operator 8): ordered signature rules, DataFrame functions onl
 
 A text becomes its words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing,
 joined by single spaces.  Some hundreds of signature patterns (each license of
-`LICENSES` in each form of `FORMS`, and the sentences of `BODIES`) are gated by keywords: a pattern runs only
-on texts that have its keywords among their words.  Every match is an interval of
+`LICENSES` in each form of `FORMS`, the sentences of `BODIES` and the signatures
+written out in license_texts.py) are gated by keywords: a pattern runs only on
+texts that have its keywords among their words.  Every match is an interval of
 words with a label and the form's priority; an interval inside another one of
 higher priority, or of the same priority and longer, is suppressed.
 
@@ -17,12 +18,14 @@ an empty result.
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbelo.llm.spans import match_spans
+from arbelo.llm.license_texts import SIGNATURES
+from arbelo.llm.spans import bind, match_spans, running
 
 
 class Rule(NamedTuple):
@@ -158,45 +161,81 @@ def rules() -> list[Rule]:
             else:
                 pairs = [k.partition("&") for k in keywords.split("|")]
                 out += [Rule(label, k, second or ("license" if label in _NAMED_LICENSE else k), pattern, priority) for k, _, second in pairs]
-    return out + [Rule(label, keyword, needs, _between_spaces(body), 3) for label, keyword, needs, body in BODIES]
+    out += [Rule(label, keyword, needs, _between_spaces(body), 3) for label, keyword, needs, body in BODIES]
+    return out + [Rule(label, *_longest(words), _between_spaces(words), 3) for label, words in SIGNATURES]
+
+
+def _longest(words: str) -> list[str]:
+    """The two longest words of a signature: the least likely to stand in other texts."""
+    return sorted(set(words.split()), key=lambda w: (-len(w), w))[:2]
+
+
+def _folded(text: Column) -> Column:
+    """A-Z in lower case. lower() is faster; of the letters that it changes else, only two become or hold ASCII letters."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130")), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
 
 
 def _detections(here: Column, text: Column, table: list[Rule]) -> Column:
     """array<struct<start,end,label,priority,base>> of all matches; start and end number words; here: the text's keywords."""
-    known = F.array(*[F.struct(*[F.lit(getattr(r, c)).alias(c) for c in Rule._fields]) for r in table])
-    gated = F.filter(known, lambda r: F.array_contains(here, r["keyword"]) & F.array_contains(here, r["needs"]) & F.rlike(text, r["pattern"]))
-    gaps = lambda n: F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit("")))
+    pairs: dict[tuple, list[dict]] = {}
+    for r in table:
+        pairs.setdefault((r.label, r.pattern, r.priority, r.base), []).append({"one": r.keyword, "two": r.needs})
+    # one literal, folded when the plan is optimised: a column for each field of each rule takes seconds to build
+    told = [dict(zip(("label", "pattern", "priority", "base"), rule, strict=True)) | {"pairs": words} for rule, words in pairs.items()]
+    known = F.from_json(F.lit(json.dumps(told)), "array<struct<label:string,pattern:string,priority:int,base:boolean,pairs:array<struct<one:string,two:string>>>>")
+    gated = F.filter(known, lambda r: F.exists(r["pairs"], lambda p: F.array_contains(here, p["one"]) & F.array_contains(here, p["two"])))
+    spaces = lambda n: F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit("")))
 
     def placed(r: Column) -> Column:
-        def place(s: Column) -> Column:
-            first = gaps(F.substring(text, F.lit(1), s["start"])) - 1
-            return F.struct(first.alias("start"), (first + 1 + gaps(F.substring(text, s["start"] + 1, s["end"] - s["start"]))).alias("end"), r["label"].alias("label"), r["priority"].alias("priority"), r["base"].alias("base"))
+        # as many words begin before a place as there are spaces before it, but one
+        return F.transform(match_spans(text, r["pattern"], spaces), lambda s: F.struct((s["start"] - 1).alias("start"), s["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority"), r["base"].alias("base")))
+
+    return F.flatten(F.transform(gated, placed))
+
 
-        return F.transform(match_spans(text, r["pattern"]), place)
+def _unsuppressed(found: Column, most: int) -> Column:
+    """The detections inside no other one of higher priority, or of the same priority and longer.
 
-    return F.array_distinct(F.flatten(F.transform(gated, placed)))
+    In the order of starts, of one start the longest first, whatever holds a
+    detection stands before it; so for each priority the farthest end so far
+    tells, of one end the earliest start.
+    """
+    reach = lambda d: d["end"].cast("long") * (1 << 31) + ((1 << 31) - 1 - d["start"])
+    tops = lambda d: F.struct(*[F.when(d["priority"] == p, reach(d)).otherwise(F.lit(-1).cast("long")).alias(f"p{p}") for p in range(1, most + 1)])
+    farther = lambda a, b: F.struct(*[F.greatest(a[f"p{p}"], b[f"p{p}"]).alias(f"p{p}") for p in range(1, most + 1)])
+    kind = "array<struct<" + ",".join(f"p{p}:bigint" for p in range(1, most + 1)) + ">>"
+    ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), (-d["priority"]).alias("low"), d.alias("d"))))
+
+    def kept(own: Column, far: Column) -> Column:
+        def beaten(x: Column, i: Column) -> Column:
+            d, before = x["d"], F.get(far, i - 1)
+            higher = [(d["priority"] < p) & (before[f"p{p}"] >= d["end"].cast("long") * (1 << 31)) for p in range(1, most + 1)]
+            longer = [(d["priority"] == p) & (before[f"p{p}"] > reach(d)) for p in range(1, most + 1)]
+            any_ = higher[0]
+            for h in (*higher[1:], *longer):
+                any_ = any_ | h
+            return F.coalesce(any_, F.lit(False))
+
+        return F.transform(F.filter(own, lambda x, i: ~beaten(x, i)), lambda x: x["d"])
+
+    return bind(ordered, lambda own: bind(bind(F.transform(own, lambda x: tops(x["d"])), lambda t: running(t, farther, kind)), lambda far: kept(own, far)))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", table: list[Rule] | None = None) -> DataFrame:
     """key, n_words, found (all detections) and kept (those that no other one suppresses) of every row."""
     table = table or rules()
-    keywords, seconds = (F.array(*[F.lit(k) for k in sorted({getattr(r, c) for r in table})]) for c in ("keyword", "needs"))
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    listed = lambda *fields: F.split(F.lit(" ".join(sorted({getattr(r, c) for r in table for c in fields}))), " ")
+    keywords, seconds, every = listed("keyword"), listed("needs"), listed("keyword", "needs")
+    words = F.regexp_extract_all(_folded(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
     none = F.array().cast("array<struct<start:int,end:int,label:string,priority:int,base:boolean>>")
     rows = docs.select(F.col(key).alias(key), words.alias("words"))
     # texts without any pair of keywords keep nothing but the number of words; the gate is a cheaper superset of the rules' own
     rows = rows.select(key, F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", keywords) & F.arrays_overlap("words", seconds), F.col("words")).alias("words"))
     # the keywords of a text are a column of their own: inside the filter over rules they would be found anew for each rule
-    every = F.array(*[F.lit(k) for k in sorted({k for r in table for k in (r.keyword, r.needs)})])
     rows = rows.select(key, "n_words", F.array_intersect("words", every).alias("here"), F.when(F.col("words").isNotNull(), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("plain"))
     rows = rows.select(key, "n_words", F.when(F.col("plain").isNotNull(), _detections(F.col("here"), F.col("plain"), table)).otherwise(none).alias("found"))
-
-    def beaten(d: Column) -> Column:
-        inside = lambda o: (o["start"] <= d["start"]) & (d["end"] <= o["end"])
-        longer = (lambda o: o["end"] - o["start"] > d["end"] - d["start"])
-        return F.exists("found", lambda o: inside(o) & ((o["priority"] > d["priority"]) | ((o["priority"] == d["priority"]) & longer(o))))
-
-    return rows.withColumn("kept", F.filter("found", lambda d: ~beaten(d)))
+    return rows.withColumn("kept", F.when(F.size("found") > 1, _unsuppressed(F.col("found"), max(r.priority for r in table))).otherwise(F.col("found")))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

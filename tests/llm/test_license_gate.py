@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import random
 import re
 from re import _parser
 
+from pyspark.sql import functions as F
+
 from arbelo.llm import licenses
 
 
@@ -64,3 +67,56 @@ TEXTS = {
 def test_names_without_optional_words_and_bodies(spark):
     docs = spark.createDataFrame([(t, t) for t in TEXTS], "doc_id string, text string")
     assert {r.doc_id: r.labels for r in licenses.report(docs).collect()} == TEXTS
+
+
+def test_every_rule_finds_its_words_and_not_them_reversed():
+    patterns = {r.pattern for r in licenses.rules() if not r.base}
+    assert len(patterns) > 500
+    for pattern in patterns:
+        words = language(_parser.parse(pattern), most=False)[0].split(" ")
+        assert re.search(pattern, f" {' '.join(words)} ")
+        if len(words) > 1:
+            assert not re.search(pattern, f" {' '.join(words[:-1])}x {words[-1]}x ")
+
+
+def test_each_signature_has_words_that_tell_it():
+    seen = {}
+    for label, words in licenses.SIGNATURES:
+        assert words == " ".join(words.split()) and len(words.split()) >= 2 and seen.setdefault(words, label) == label
+    assert len(seen) == len(licenses.SIGNATURES)
+
+
+def brute_kept(found):
+    inside = lambda d, o: o[0] <= d[0] and d[1] <= o[1]
+    return sorted(d for d in found if not any(inside(d, o) and (o[3] > d[3] or (o[3] == d[3] and o[1] - o[0] > d[1] - d[0])) for o in found))
+
+
+def test_suppression_as_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, [(a := rng.randrange(12), a + rng.randint(1, 6), rng.choice("xyz"), rng.randint(1, 4), False) for _ in range(rng.randint(0, 14))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, found array<struct<start:int,end:int,label:string,priority:int,base:boolean>>")
+    for r in df.withColumn("kept", licenses._unsuppressed(F.col("found"), 4)).collect():
+        assert sorted(tuple(d) for d in r.kept) == brute_kept([tuple(d) for d in r.found])
+
+
+def test_labels_as_brute_force(spark):
+    texts = ["the MIT License and SPDX-License-Identifier: MIT, a copy of the Apache License Version 2.0 at", "See the BSD 3-Clause license. " * 3 + "CC BY-SA 4.0", "released under the GNU General Public License v3, all rights reserved"]
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect():
+        plain = f" {' '.join(re.findall('[a-z0-9]+', texts[r.doc_id].lower()))} "
+        found = set()
+        for rule in licenses.rules():
+            for m in re.finditer(rule.pattern, plain):
+                found.add((plain[: m.start()].count(" ") - 1, plain[: m.end()].count(" "), rule.label, rule.priority, rule.base))
+        # two forms of one license may give the same detection
+        assert {tuple(d) for d in r.found} == found and {tuple(d) for d in r.kept} == set(brute_kept(found))
+
+
+def test_kelvin_signs_are_no_letters_of_keywords(spark):
+    docs = spark.createDataFrame([(1, "Mozilla Public Licen\u017fe MIT \u212a mit license"), (2, "m\u0130t license mit l\u0130cense")], "doc_id int, text string")
+    assert {r.doc_id: r.n_base for r in licenses.report(docs).collect()} == {1: 1, 2: 0}
+
+
+def test_many_places_in_one_text(spark):
+    docs = spark.createDataFrame([(1, "mit license " * 100_000)], "doc_id int, text string")
+    r = licenses.report(docs).first()
+    assert (r.n_base, r.first_word, r.last_word) == (100_000, 0, 199_998)
