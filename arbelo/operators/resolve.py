@@ -1,16 +1,16 @@
 """Resolution of registry records into entities: ordered candidate edges, a constrained merge, identities, groups.
 
 Candidate edges depend on record fields only, so every rule is a self-join on a
-key.  The merge replays them in one order under the rule that two different
-valid ids never meet.  It runs in rounds of joins: an edge that is the earliest
-open one at both its ends' clusters can be decided at once, because nothing
-earlier can still change either cluster; all such edges are decided together.
-No group of records is gathered into one task.
+key.  The merge gives what a pass over them in one order gives under the rule
+that two different valid ids never meet, in rounds of joins whose number grows
+with the logarithm of the largest component.  No group of records is gathered
+into one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,35 +119,55 @@ def candidate_edges(cad: DataFrame, params: Params, fixed: DataFrame) -> DataFra
     return edges
 
 
+def _contracted(picks: DataFrame) -> DataFrame:
+    """(c, root) of clusters that point at another one; pointers form trees but for pairs that point at each other."""
+    back = picks.select(F.col("c").alias("to"), F.col("to").alias("c"), F.lit(True).alias("mutual"))
+    at = materialize(picks.join(back, ["c", "to"], "left").filter(F.col("mutual").isNull() | (F.col("c") > F.col("to"))).select("c", F.col("to").alias("root")), "pointers")
+    while True:
+        ahead = at.select(F.col("c").alias("root"), F.col("root").alias("next"))
+        jumped = at.join(ahead, "root", "left").select("c", "root", "next")
+        if jumped.filter("next is not null").isEmpty():
+            return at
+        at = materialize(jumped.select("c", F.coalesce("next", "root").alias("root")), "pointers")
+
+
 def constrained_merge(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes (ref, valid id or null), ordered edges -> labels (ref, root), effective merges, refused edges.
 
-    Roots are refs; edges between clusters with two different ids are refused.
+    Roots are refs; edges between clusters with two different ids are refused,
+    as in one pass over the edges in their order.  A cluster's id never changes
+    once it has one, so edges between different ids can be refused at once.  The
+    first edge of a cluster without an id always merges it, whatever becomes of
+    the other end; the first edge of a cluster with an id does if the other end
+    has the same.  All such edges are taken in one round.  Clusters without an
+    id at least halve in number, then those of each id: rounds grow with the
+    logarithm of a component's size, also for stars and chains.
     """
     order = F.struct("phase", "block", "pos_b", "pos_a", "a", "b")
     # the same pair can come under several rules; its order tells them apart
-    open_ = materialize(edges.filter("a <> b").withColumn("ord", order).withColumns({"ca": F.col("a"), "cb": F.col("b")}), "edges")
-    state = materialize(nodes.select(F.col("ref"), F.col("ref").alias("root")), "roots")
-    ids = materialize(nodes.select(F.col("ref").alias("root"), F.col("id")), "ids")
-    merges = refused = None
+    open_ = materialize(edges.filter("a <> b").select(*EDGE).dropDuplicates(["phase", "block", "pos_b", "pos_a", "a", "b"]).withColumn("ord", order).withColumns({"ca": F.col("a"), "cb": F.col("b")}), "edges")
+    state = nodes.select(F.col("ref"), F.col("ref").alias("root"))
+    ids = nodes.select(F.col("ref").alias("root"), F.col("id"))
+    merges, refused = [], []
     while not open_.isEmpty():
-        ends = open_.select(F.col("ca").alias("c"), "ord").unionByName(open_.select(F.col("cb").alias("c"), "ord"))
-        first = ends.groupBy("c").agg(F.min("ord").alias("first"))
-        ready = open_.join(first.select(F.col("c").alias("ca"), F.col("first").alias("fa")), "ca").join(first.select(F.col("c").alias("cb"), F.col("first").alias("fb")), "cb").filter("ord = fa and ord = fb")
-        ready = ready.join(ids.select(F.col("root").alias("ca"), F.col("id").alias("ida")), "ca", "left").join(ids.select(F.col("root").alias("cb"), F.col("id").alias("idb")), "cb", "left")
-        decided = materialize(ready.withColumn("joins", F.col("ida").isNull() | F.col("idb").isNull() | (F.col("ida") == F.col("idb"))).select(*EDGE, "ord", "ca", "cb", "joins", F.coalesce("ida", "idb").alias("id")), "decided")
-        merged = decided.filter("joins")
-        merges = merged.select(*EDGE) if merges is None else merges.unionByName(merged.select(*EDGE))
-        no = decided.filter("not joins").select(*EDGE)
-        refused = no if refused is None else refused.unionByName(no)
-        moved = merged.select(F.col("cb").alias("root"), F.col("ca").alias("to"))
-        state = materialize(state.join(moved, "root", "left").select("ref", F.coalesce("to", "root").alias("root")), "roots")
-        ids = materialize(ids.join(moved, "root", "left_anti").join(merged.select(F.col("ca").alias("root"), F.col("id").alias("got")), "root", "left").select("root", F.coalesce("got", "id").alias("id")), "ids")
-        rest = open_.join(decided.select("ord"), "ord", "left_anti")
-        rest = rest.join(moved.select(F.col("root").alias("ca"), F.col("to").alias("ta")), "ca", "left").join(moved.select(F.col("root").alias("cb"), F.col("to").alias("tb")), "cb", "left")
-        open_ = materialize(rest.select(*EDGE, "ord", F.coalesce("ta", "ca").alias("ca"), F.coalesce("tb", "cb").alias("cb")).filter("ca <> cb"), "edges")
+        known = open_.join(ids.select(F.col("root").alias("ca"), F.col("id").alias("ida")), "ca", "left").join(ids.select(F.col("root").alias("cb"), F.col("id").alias("idb")), "cb", "left")
+        known = materialize(known.select(*EDGE, "ord", "ca", "cb", "ida", "idb", F.coalesce(F.col("ida") != F.col("idb"), F.lit(False)).alias("differ")), "edges")
+        refused.append(known.filter("differ").select(*EDGE))
+        live = known.filter("not differ")
+        side = lambda c, own, to, other: live.select(F.col(c).alias("c"), F.struct("ord", F.col(to).alias("to"), F.col(own).alias("own"), F.col(other).alias("other")).alias("e"))
+        firsts = side("ca", "ida", "cb", "idb").unionByName(side("cb", "idb", "ca", "ida")).groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*")
+        picks = materialize(firsts.filter("own is null or own = other").select("c", "to", "ord", F.coalesce("own", "other").alias("id")), "picks")
+        taken = picks.select("ord").distinct()
+        merges.append(live.join(taken, "ord", "left_semi").select(*EDGE))
+        moved = materialize(_contracted(picks.select("c", "to")), "moved")
+        state = materialize(state.join(moved.select(F.col("c").alias("root"), F.col("root").alias("to")), "root", "left").select("ref", F.coalesce("to", "root").alias("root")), "roots")
+        ids = materialize(ids.join(moved.select(F.col("c").alias("root"), F.col("root").alias("to")), "root", "left").groupBy(F.coalesce("to", "root").alias("root")).agg(F.max("id").alias("id")), "ids")
+        ends = {c: moved.select(F.col("c").alias(c), F.col("root").alias(f"t{c}")) for c in ("ca", "cb")}
+        rest = live.join(taken, "ord", "left_anti").select(*EDGE, "ord", "ca", "cb").join(ends["ca"], "ca", "left").join(ends["cb"], "cb", "left")
+        open_ = materialize(rest.select(*EDGE, "ord", F.coalesce("tca", "ca").alias("ca"), F.coalesce("tcb", "cb").alias("cb")).filter("ca <> cb"), "edges")
     empty = edges.select(*EDGE).filter(F.lit(False))
-    return state, merges if merges is not None else empty, refused if refused is not None else empty
+    joined = lambda parts: reduce(DataFrame.unionByName, parts, empty)
+    return state, joined(merges), joined(refused)
 
 
 def entities(cad: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
