@@ -208,7 +208,7 @@ class EntityLayer:
         own = ents.select("id", F.explode("nomesNorm").alias("nome"), F.lit(1.0).alias("w"))
         said = self.rows_of(role).filter("kind = 2 and nome <> ''").select("id", "nome", F.lit(0.95).alias("w")).distinct()
         names = own.unionByName(said)
-        alike = search.candidates(asked.filter("query <> ''").select("q", "query"), names.select("nome"), p.sim)
+        alike = search.candidates(asked.filter("query <> ''").select("q", "query"), names.select("nome"), p.sim, p.scoreMinBusca - search.ROUNDING)
         found.append(alike.join(names, "nome").groupBy("q", "id").agg(F.max(F.col("s") * F.col("w")).alias("s")).select("q", "id", "s", F.lit(5).alias("o"), F.lit("nome").alias("motivo")))
         all_ = found[0]
         for more in found[1:]:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbelo.functions import text as X
+from arbelo.operators.alike import alike
 from arbelo.operators.tables import materialize
 
 
@@ -69,10 +70,15 @@ def guarded_edges(rows: DataFrame, key: str, guard: float, kind: str = "max", sa
         return keyed.join(heads, by).filter("pos > pos_a").select("a", F.col("ref").alias("b"), "pos_a", F.col("pos").alias("pos_b"), "block")
     left, right = (keyed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("pos", "ref", "nome", "cidade")], "key", "block") for s in "ab")
     names = keyed.filter("nome <> ''").select("key", "nome").distinct()
-    x, y = (names.select("key", F.col("nome").alias(f"nome_{s}"), X.bigrams(F.col("nome")).alias(f"grams_{s}")) for s in "ab")
-    pairs = x.join(y, "key").filter(F.arrays_overlap("grams_a", "grams_b")) if kind == "max" else x.join(y, "key")
-    alike = pairs.filter(X.name_similarity(F.col("nome_a"), F.col("nome_b"), kind, F.col("grams_a"), F.col("grams_b")) >= guard).select("key", "nome_a", "nome_b")
-    found = left.join(alike, ["key", "nome_a"]).join(right.drop("block"), ["key", "nome_b"])
+    if kind == "max" and guard > 0:
+        pairs = alike(names.withColumnRenamed("nome", "name"), names.withColumnRenamed("nome", "name"), guard, ["key"]).select("key", F.col("a").alias("nome_a"), F.col("b").alias("nome_b"))
+    else:
+        pairs = names.withColumnRenamed("nome", "nome_a").join(names.withColumnRenamed("nome", "nome_b"), "key")
+    close = pairs.filter(X.name_similarity(F.col("nome_a"), F.col("nome_b"), kind) >= guard).select("key", "nome_a", "nome_b")
+    if not every:
+        # of the rows of one name only the first of its block can be an earlier end
+        left = left.groupBy("key", "nome_a", *(["cidade_a"] if same_city else [])).agg(F.min("pos_a").alias("pos_a"), F.min_by("ref_a", "pos_a").alias("ref_a"), F.first("block").alias("block"))
+    found = left.join(close, ["key", "nome_a"]).join(right.drop("block"), ["key", "nome_b"])
     found = found.filter("pos_a < pos_b")
     if same_city:
         found = found.filter("cidade_a <> '' and cidade_a = cidade_b")

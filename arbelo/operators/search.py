@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from arbelo.functions import text as X
 from arbelo.operators import ranking
+from arbelo.operators.alike import alike
 
 
 #: Names of a salted block.
 BLOCK = 1_000
+#: What a score in two digits may be rounded up by, and a little more.
+ROUNDING = 0.0051
 
 
 def crossed(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -23,22 +26,30 @@ def crossed(left: DataFrame, right: DataFrame) -> DataFrame:
     return x.join(y, ["_i", "_j"]).drop("_i", "_j")
 
 
-def candidates(queries: DataFrame, names: DataFrame, sim: str = "max") -> DataFrame:
-    """(q, query, nome, s): similarity of every query to every name that shares a bigram with it, or, for the measures by characters, a character."""
+def candidates(queries: DataFrame, names: DataFrame, sim: str = "max", least: float = 0.0) -> DataFrame:
+    """(q, query, nome, s): similarity of every query to every name that shares a bigram with it, or, for the measures by characters, a character.
+
+    least: pairs below it are not wanted; queries and names then meet on their rarest bigrams and words only.
+    """
     known = names.select("nome").distinct()
+    if sim == "max" and least > 0:
+        asked = queries.select("q", "query").distinct()
+        met = alike(asked.select(F.col("query").alias("name")), known.select(F.col("nome").alias("name")), least)
+        scored = met.select(F.col("a").alias("query"), F.col("b").alias("nome")).withColumn("s", X.name_similarity(F.col("query"), F.col("nome"), sim)).filter(F.col("s") >= least)
+        return asked.join(scored, "query").select("q", "query", "nome", "s")
     if sim == "max":
         asked = queries.select("q", "query", F.explode(F.array_distinct(X.bigrams(F.col("query")))).alias("g"))
         known = known.select("nome", F.explode(F.array_distinct(X.bigrams(F.col("nome")))).alias("g"))
         pairs = asked.join(known, "g").select("q", "query", "nome").distinct()
     else:
-        alike = F.arrays_overlap(F.split("query", ""), F.split("nome", "")) | (F.col("query") == F.col("nome"))
-        pairs = crossed(queries.select("q", "query").distinct(), known).filter(alike)
+        share = F.arrays_overlap(F.split("query", ""), F.split("nome", "")) | (F.col("query") == F.col("nome"))
+        pairs = crossed(queries.select("q", "query").distinct(), known).filter(share)
     return pairs.withColumn("s", X.name_similarity(F.col("query"), F.col("nome"), sim))
 
 
 def top_names(queries: DataFrame, names: DataFrame, n: int = 5, least: float = 0.40, margin: float = 0.05, sim: str = "max") -> DataFrame:
     """The n best names (nome, ordem) per query: rounded score, rank, and whether the first two are too close to tell."""
-    scored = candidates(queries, names, sim).join(names.groupBy("nome").agg(F.min("ordem").alias("ordem")), "nome")
+    scored = candidates(queries, names, sim, least - ROUNDING).join(names.groupBy("nome").agg(F.min("ordem").alias("ordem")), "nome")
     scored = scored.withColumn("score", X.round_half_up(F.col("s"), 2)).filter(F.col("score") >= least)
     best = ranking.top_k(scored, ["q"], n, F.col("score").desc(), F.col("ordem"))
     firsts = best.groupBy("q").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2"))
@@ -63,5 +74,5 @@ def link_by_margin(queries: DataFrame, names: DataFrame, least: float = 0.72, ma
 
 def pending(queries: DataFrame, names: DataFrame, least: float = 0.5, most: int = 3, sim: str = "max") -> DataFrame:
     """(q, candidato, rank): up to three names that a pending query may mean."""
-    scored = candidates(queries, names, sim)
+    scored = candidates(queries, names, sim, least)
     return ranking.top_k(scored.filter(F.col("s") >= least), ["q"], most, F.col("s").desc(), F.col("nome")).select("q", F.col("nome").alias("candidato"), "rank")

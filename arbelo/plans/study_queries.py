@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arbelo.functions import text as X
 from arbelo.operators import evaluate, experiments, profiling, ranking, retrieval, search
+from arbelo.operators.tables import materialize
 from arbelo.plans.name_queries import _GRAMS, EMAIL
 from arbelo.plans.tables import table
 
@@ -131,8 +132,8 @@ COLUMN_PROFILE = f"WITH {_CELLS} SELECT source, col, registros, floor(1000.0 * c
 
 
 def link_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = profiling.column_values(_profiled(spark, sf_dir))
-    sets = profiling.comparable(values, profiling.column_stats(values))
+    values = materialize(profiling.column_values(_profiled(spark, sf_dir)), "values")
+    sets = materialize(profiling.comparable(values, materialize(profiling.column_stats(values), "stats")), "sets")
     return profiling.links(sets, ("id", "numero", "codigo"))
 
 
@@ -145,9 +146,9 @@ LINK_DISCOVERY = f"""
 
 
 def inclusion_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = profiling.column_values(_profiled(spark, sf_dir))
-    stats = profiling.column_stats(values)
-    return profiling.foreign_keys(profiling.comparable(values, stats), stats)
+    values = materialize(profiling.column_values(_profiled(spark, sf_dir)), "values")
+    stats = materialize(profiling.column_stats(values), "stats")
+    return profiling.foreign_keys(materialize(profiling.comparable(values, stats), "sets"), stats)
 
 
 INCLUSION_DEPS = f"""
