@@ -63,7 +63,7 @@ def _grouped(docs: DataFrame, key: str, text: str, hashed: Callable[[Column], Co
 def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: Callable[[Column], Column] = hash128) -> DataFrame:
     """key, keep_id, group_size, kept, text_sha256 of every row."""
     rows, groups = _grouped(docs, key, text, hashed)
-    told = rows.join(groups, ["h", "sha"], "left")
+    told = rows.join(_small(groups), ["h", "sha"], "left")
     alone = F.col("size").isNull()
     wins = alone | (F.col("key").eqNullSafe(F.col("keep")) & (F.col("chars") == F.col("keep_chars")))
     each = told.select("*", wins.alias("wins"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
@@ -76,9 +76,9 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: Cal
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed: Callable[[Column], Column] = hash128) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     rows, groups = _grouped(docs, key, text, hashed)
-    told = rows.join(groups, ["h", "sha"])
+    told = rows.join(_small(groups), ["h", "sha"])
     wins = F.col("key").eqNullSafe(F.col("keep")) & (F.col("chars") == F.col("keep_chars"))
-    lost = materialize(told.filter(~wins).select("h", "sha", "key", "chars").distinct(), "exact-lost")
+    lost = materialize(told.filter(~wins).select("h", "sha", "key", "chars"), "exact-lost")
     repeated = materialize(told.filter(wins & (F.col("copies") > 1)).select("h", "sha", "key", "chars"), "exact-repeated")
     h, n, sha = (free_name(docs, c) for c in ("_h", "_n", "_sha"))
     marked = docs.withColumns({h: hashed(normalised(text)), n: _chars(text), sha: F.unhex(F.sha2(normalised(text).cast("binary"), 256))})
