@@ -35,3 +35,22 @@ def hidden(rows: DataFrame, role: str | None, by: str, source: str = "fonte", ro
 def exclusive(values: DataFrame, permitted: Column, value: str) -> DataFrame:
     """Rows whose value no permitted row holds."""
     return values.filter(~permitted).join(values.filter(permitted).select(value).distinct(), value, "left_anti")
+
+
+#: Shorter values show too easily inside others to prove a leak.
+LEAST = 6
+
+
+def exclusive_inside(values: DataFrame, permitted: Column, value: str) -> DataFrame:
+    """Rows of at least LEAST letters whose value stands in no permitted value, not even as a part of it.
+
+    A value meets permitted ones at the one of its pieces of LEAST letters that
+    the fewest of them hold: whoever holds the value holds that piece.
+    """
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("v") - LEAST + 1), lambda i: F.substring("v", i, F.lit(LEAST))))
+    of = lambda rows: rows.select(F.col(value).alias("v")).filter(F.length("v") >= LEAST).distinct().select("v", F.explode(pieces).alias("piece"))
+    shown, asked = of(values.filter(permitted)), of(values.filter(~permitted))
+    counts = shown.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "piece", "left").groupBy("v").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("piece"))
+    found = rarest.join(shown.withColumnRenamed("v", "whole"), "piece").filter(F.contains("whole", "v")).select(F.col("v").alias(value)).distinct()
+    return values.filter(~permitted & (F.length(value) >= LEAST)).join(found, value, "left_anti")

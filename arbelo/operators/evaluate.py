@@ -39,3 +39,22 @@ def splits(both: DataFrame, pred: str, truth: str) -> DataFrame:
     merged = cells.groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("merged").alias("kind"), F.col("p").alias("id"), "n")
     split = cells.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("split").alias("kind"), F.col("t").alias("id"), "n")
     return merged.unionByName(split)
+
+
+def exact_truths(both: DataFrame, pred: str, truth: str) -> DataFrame:
+    """Truths, and those whose rows all stand in one cluster that holds nothing else; a truth with a loose row is not exact."""
+    cells = both.select(F.col(pred).alias("p"), F.col(truth).alias("t")).distinct()
+    pure = cells.filter("p is not null").groupBy("p").agg((F.count(F.lit(1)) == 1).alias("pura"))
+    spread = cells.join(pure, "p", "left").groupBy("t").agg((F.count(F.lit(1)) == 1).alias("junta"), F.every(F.coalesce(F.col("pura"), F.lit(False))).alias("pura"))
+    return spread.agg(F.count(F.lit(1)).alias("entidades"), F.count_if(F.col("junta") & F.col("pura")).alias("exatas"))
+
+
+def error_kinds(both: DataFrame, pred: str, truth: str, motive: str, groups: DataFrame) -> DataFrame:
+    """Wrong rows per motive, and those whose cluster's owner is of the row's own group; groups (truth, grupo), null: in none."""
+    wrong = both.join(owners(both, pred, truth), pred).filter(F.col("dono") != F.col(truth))
+    mine = groups.select(F.col(truth), F.col("grupo").alias("_a"))
+    theirs = groups.select(F.col(truth).alias("dono"), F.col("grupo").alias("_b"))
+    # rows are counted per motive and pair of truths before groups join
+    counts = wrong.groupBy(motive, truth, "dono").agg(F.count(F.lit(1)).alias("n"))
+    same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
+    return counts.join(mine, truth, "left").join(theirs, "dono", "left").groupBy(motive).agg(F.sum("n").alias("erros"), F.sum(F.when(same, F.col("n")).otherwise(0)).alias("mesmo_grupo"))

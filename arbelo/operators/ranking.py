@@ -42,3 +42,9 @@ def two_best(scored: DataFrame, by: list[str], score: str, item: str, tie: str)
     """Per `by`: the best item, its score and the runner-up's (0 without one)."""
     best = top_k(scored, by, 2, F.col(score).desc(), F.col(tie))
     return best.groupBy(*by).agg(F.max_by(item, -F.col("rank")).alias(item), F.max(F.when(F.col("rank") == 1, F.col(score))).alias("s1"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col(score))), F.lit(0.0)).alias("s2"))
+
+
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """rows with their place `n` in an order that looks random but depends on key and seed alone."""
+    spot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return numbered(rows.withColumn("_spot", spot), [], "_spot", float(1 << 20), tie=key).drop("_spot")

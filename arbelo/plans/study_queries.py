@@ -311,7 +311,7 @@ PAIRED_DIFF = """
 
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.paired_bootstrap(_paired(spark, sf_dir), "o_custkey", "a", "b", 200)
+    return experiments.paired_bootstrap(_paired(spark, sf_dir), "o_custkey", "a", "b")
 
 
 def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
