@@ -154,7 +154,7 @@ def interaction_tests(design: DataFrame, factors: list[str], pairs: list[tuple[s
     """Each pair's products against the model of all factors alone."""
     found = _tests(_take(design), {f"{a}:{b}": (factors, [*factors, f"{a}:{b}"]) for a, b in pairs}, poisson)
     adjusted = holm({t[0]: t[4] for t in found})
-    return design.sparkSession.createDataFrame([(*t[:5], adjusted[t[0]], math.nan, t[5]) for t in found], _SCHEMA)
+    return design.sparkSession.createDataFrame([(*t[:5], adjusted[t[0]], None, t[5]) for t in found], _SCHEMA)
 
 
 def contrasts(design: DataFrame, factors: list[str], asked: list[tuple[str, str, str]]) -> DataFrame:
