@@ -27,14 +27,21 @@ def read_csv(spark: SparkSession, path: str, sep: str = ";", trim: bool = False)
     Quoted fields may hold line breaks, so a file is one task; many files are
     read side by side.  Rows of less than two fields are left out.
     """
-    raw = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").option("inferSchema", False).option("ignoreLeadingWhiteSpace", False).csv(path)
-    names = raw.columns
-    rows = raw.select(*[F.col(f"`{c}`") for c in names], _base_name(F.col("_metadata.file_path")).alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    reader = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").option("inferSchema", False).option("ignoreLeadingWhiteSpace", False)
+    names = reader.csv(path).columns
+    # Spark keeps the text of rows whose number of fields is not that of the header
+    odd = "_odd_row"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, odd]])
+    raw = reader.option("columnNameOfCorruptRecord", odd).schema(schema).csv(path)
+    rows = raw.select("*", _base_name(F.col("_metadata.file_path")).alias("_file"), F.monotonically_increasing_id().alias("_id"))
     if len(names) > 1:
-        rows = rows.filter(F.coalesce(*[F.col(f"`{c}`") for c in names[1:]]).isNotNull() | F.col(f"`{names[0]}`").isNotNull())
+        one_field = F.col(odd).isNotNull() & F.col(f"`{names[1]}`").isNull() & ~F.contains(F.regexp_replace(odd, '"[^"]*"', ""), F.lit(sep))
+        rows = rows.withColumn("_kept", ~one_field)
+    else:
+        rows = rows.withColumn("_kept", F.lit(True))
     first = rows.groupBy("_file").agg(F.min("_id").alias("_first"))  # a file is read by one task: its ids are consecutive
     clean = (lambda c: F.trim(c)) if trim else (lambda c: c)
-    return rows.join(first, "_file").select(*[clean(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c.strip() if trim else c) for c in names], "_file", (F.col("_id") - F.col("_first") + 2).cast("long").alias("_linha"))
+    return rows.join(first, "_file").filter("_kept").select(*[clean(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c.strip() if trim else c) for c in names], "_file", (F.col("_id") - F.col("_first") + 2).cast("long").alias("_linha"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
