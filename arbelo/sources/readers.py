@@ -33,25 +33,25 @@ def read_csv(spark: SparkSession, path: str, sep: str = ";", trim: bool = False)
     odd = "_odd_row"
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, odd]])
     raw = reader.option("columnNameOfCorruptRecord", odd).schema(schema).csv(path)
-    rows = raw.select("*", _base_name(F.col("_metadata.file_path")).alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id"))
     if len(names) > 1:
         one_field = F.col(odd).isNotNull() & F.col(f"`{names[1]}`").isNull() & ~F.contains(F.regexp_replace(odd, '"[^"]*"', ""), F.lit(sep))
         rows = rows.withColumn("_kept", ~one_field)
     else:
         rows = rows.withColumn("_kept", F.lit(True))
-    first = rows.groupBy("_file").agg(F.min("_id").alias("_first"))  # a file is read by one task: its ids are consecutive
+    first = rows.groupBy("_path").agg(F.min("_id").alias("_first"))  # a file is read by one task: its ids are consecutive
     clean = (lambda c: F.trim(c)) if trim else (lambda c: c)
-    return rows.join(first, "_file").filter("_kept").select(*[clean(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c.strip() if trim else c) for c in names], "_file", (F.col("_id") - F.col("_first") + 2).cast("long").alias("_linha"))
+    return rows.join(first, "_path").withColumn("_file", _base_name(F.col("_path"))).filter("_kept").select(*[clean(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c.strip() if trim else c) for c in names], "_file", (F.col("_id") - F.col("_first") + 2).cast("long").alias("_linha"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """`value`, `_file` and `_linha` (from 1) of all lines that are not empty."""
-    rows = spark.read.text(path).filter("value <> ''").select("value", _base_name(F.col("_metadata.file_path")).alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    rows = spark.read.text(path).filter("value <> ''").select("value", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id"))
     # a split of a file is one task, so ids only need the splits' counts before them
     split = F.shiftright("_id", 33)
-    counts = rows.groupBy("_file", split.alias("_split")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.withColumn("_split", split).join(before, ["_file", "_split"]).select("value", "_file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("long").alias("_linha"))
+    counts = rows.groupBy("_path", split.alias("_split")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.withColumn("_split", split).join(before, ["_path", "_split"]).select("value", _base_name(F.col("_path")).alias("_file"), (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("long").alias("_linha"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
