@@ -241,6 +241,47 @@ LAYER_ROLES = f"""
     UNION ALL SELECT 'visitante', 0, 0, '', 0, 0, 0"""
 
 
+def layer_roles_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attack on every role by search: tax ids, e-mails and phones that only records hidden from it hold are asked for.
+
+    perguntas: identifiers asked; revelados: those that find an entity by that
+    very kind of identifier; sem_registro: entities found of which the role sees
+    no record; vazados: secret identifiers in the texts of answers.
+    """
+    own = layer(spark, sf_dir)
+    c = F.col
+    held = F.array(
+        F.struct(F.lit("CNPJ").alias("kind"), F.when(c("cnpjOk"), c("cnpj")).otherwise(c("cnpjCorrigido")).alias("consulta")),
+        F.struct(F.lit("e-mail").alias("kind"), c("email").alias("consulta")), F.struct(F.lit("telefone").alias("kind"), c("fone").alias("consulta")),
+    )
+    rows = own.records.join(own.membership.select("ref"), "ref", "left_semi").select("fonte", F.explode(held).alias("h")).select("fonte", "h.*").filter("coalesce(consulta, '') <> ''").distinct()
+    rows = materialize(rows, "identifiers")
+    out = []
+    for role in [*access.ROLES, "visitante"]:
+        shown = rows.filter(access.allowed(role)).select("kind", "consulta").distinct()
+        asked = rows.filter(~access.allowed(role)).select("kind", "consulta").distinct().join(shown, ["kind", "consulta"], "left_anti").withColumn("q", F.concat_ws(" ", "kind", "consulta"))
+        asked = materialize(asked, "secret-identifiers")
+        hits = materialize(own.search(asked.select("q", "consulta"), role=role).join(asked.select("q", "kind"), "q"), "found-by-secrets")
+        words = hits.select(F.explode(F.split(F.concat_ws(" ", "nome", "cidade", "aviso"), "\\s+")).alias("consulta")).distinct()
+        sums = [
+            asked.agg(F.count(F.lit(1)).alias("perguntas")), hits.filter(c("motivo") == c("kind")).agg(F.countDistinct("q").alias("revelados")),
+            hits.join(own.rows_of(role).select("id").distinct(), "id", "left_anti").agg(F.countDistinct("id").alias("sem_registro")), asked.join(words, "consulta", "left_semi").agg(F.count(F.lit(1)).alias("vazados")),
+        ]
+        out.append(reduce(DataFrame.crossJoin, sums).withColumn("perfil", F.lit(role)))  # one row each
+    return reduce(DataFrame.unionByName, out)
+
+
+LAYER_ROLES_SEARCH = f"""
+    WITH {_BASE}, {_TAX}, held AS (
+        SELECT 'crm' AS fonte, 'CNPJ' AS kind, cnpj AS v FROM tax UNION SELECT 'erp', 'CNPJ', cnpj FROM erp JOIN tax USING (k) UNION SELECT 'contrato', 'CNPJ', cnpj FROM ct JOIN tax USING (k)
+        UNION SELECT 'crm', 'e-mail', 'contato@k' || k || '.com.br' FROM k UNION SELECT 'crm', 'telefone', k::VARCHAR FROM k
+        UNION SELECT 'email', 'e-mail', CASE WHEN event_id % 4 = 0 THEN 'x' || event_id || '@gmail.com' ELSE 'contato@k' || user_id || '.com.br' END FROM ev WHERE id IS NOT NULL AND event_type <> 'error'
+        UNION SELECT 'chamado', 'e-mail', 'contato@k' || user_id || '.com.br' FROM ev WHERE id IS NOT NULL AND event_type = 'error' AND event_id % 2 = 0),
+    roles AS (SELECT role, fs FROM (VALUES {", ".join(f"('{r}', {fs})" for r, fs in access.ROLES.items())}, ('visitante', []::VARCHAR[])) t(role, fs)),
+    secret AS (SELECT role, kind, v FROM roles, held GROUP BY ALL HAVING NOT bool_or(list_contains(fs, fonte)))
+    SELECT role AS perfil, count(v) AS perguntas, 0::BIGINT AS revelados, 0::BIGINT AS sem_registro, 0::BIGINT AS vazados FROM roles LEFT JOIN secret USING (role) GROUP BY 1"""
+
+
 def layer_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by source, and of mentions those linked."""
     own = layer(spark, sf_dir)
@@ -253,5 +294,5 @@ LAYER_STATISTICS = f"""
     t AS (SELECT 'nf' AS fonte, count(*) AS n FROM orders UNION ALL SELECT CASE WHEN event_type = 'error' THEN 'chamado' ELSE 'email' END, count(*) FROM events GROUP BY 1)
     SELECT fonte, coalesce(t.n, ligados) AS registros, ligados FROM n LEFT JOIN t USING (fonte)"""
 
-QUERIES = {f.__name__: f for f in (layer_membership, layer_mentions, layer_merges, layer_search, layer_dossier, layer_divergences, layer_gaps, layer_timeline, layer_references, layer_roles, layer_statistics)}
+QUERIES = {f.__name__: f for f in (layer_membership, layer_mentions, layer_merges, layer_search, layer_dossier, layer_divergences, layer_gaps, layer_timeline, layer_references, layer_roles, layer_roles_search, layer_statistics)}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES}
