@@ -34,6 +34,7 @@ class EntityLayer:
     groups: DataFrame
     merges: DataFrame
     refused: DataFrame
+    n_refused: int
     corrections: DataFrame
     pending: DataFrame
 
@@ -44,10 +45,10 @@ class EntityLayer:
         rows = materialize(records.union(*[make(sources[name]) for name, make in parts.items() if name in sources]), "records")
         cad = rows.filter("papel = 'cadastro'")
         fixed = materialize(resolve.corrections(cad, params), "corrections")
-        edges = resolve.candidate_edges(cad, params, fixed)
+        tried = resolve.candidate_edges(cad, params, fixed)
         nodes = cad.select("ref", F.when(F.col("cnpjOk"), F.col("cnpj")).alias("id"))
         # a correction joins by its target's id, but the corrected record itself brings none into the merge
-        labels, merges, refused = resolve.constrained_merge(nodes, edges)
+        labels, merges, refused = resolve.constrained_merge(nodes, tried.edges)
         cad = cad.join(fixed.select("ref", F.col("para").alias("cnpjCorrigido")), "ref", "left")
         member, ents = resolve.entities(cad, labels)
         member, ents = materialize(member, "membership"), materialize(ents, "entities")
@@ -62,7 +63,7 @@ class EntityLayer:
         if params.aprendeEmail:
             strong = links.filter(~F.col("motivo").rlike("nome parecido|contato conhecido")).join(rows.select("ref", "email"), "ref").filter("email <> ''").groupBy("id").agg(F.collect_set("email").alias("learned"))
             ents = ents.join(strong, "id", "left").withColumn("emails", F.array_union("emails", F.coalesce("learned", F.array().cast("array<string>")))).drop("learned")
-        return cls(params, materialize(rows, "records"), materialize(placed, "membership"), materialize(ents, "entities"), groups, merges, refused, fixed, pending)
+        return cls(params, materialize(rows, "records"), materialize(placed, "membership"), materialize(ents, "entities"), groups, merges, tried.refused(refused, labels), tried.refused_count(refused, labels), fixed, pending)
 
     # -- what a role sees ---------------------------------------------------
 
@@ -231,7 +232,7 @@ class EntityLayer:
         mention = rows.filter("papel = 'mencao'")
         return {
             "registros": rows.count(), "fontes": {r.fonte: r["count"] for r in rows.groupBy("fonte").count().collect()}, "entidades": self.entities.count(), "ambiguos": self.pending.count(),
-            "correcoes_cnpj": self.corrections.count(), "bloqueios_cnpj": self.refused.count(), "entidades_com_copia_crm_erp": self.rows_of().filter("kind = 0 and copiaDe = 'crm'").select("id").distinct().count(),
+            "correcoes_cnpj": self.corrections.count(), "bloqueios_cnpj": self.n_refused, "entidades_com_copia_crm_erp": self.rows_of().filter("kind = 0 and copiaDe = 'crm'").select("id").distinct().count(),
             "maioria_ingenua_erraria_endereco": ad.filter("maioria_ingenua <> atual.endereco").count(), "mencoes": mention.count(), "mencoes_ligadas": mention.join(self.membership, "ref", "left_semi").count(),
         }
 

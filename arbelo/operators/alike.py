@@ -1,4 +1,14 @@
-"""Pairs of names whose Dice or Jaccard similarity can reach a threshold, met on prefixes of their rarest parts."""
+"""Similar names: pairs whose Dice or Jaccard similarity reaches a threshold, each met once, with its score from counts of shared parts.
+
+A name's parts are its bigrams, numbered among equal ones so that a multiset
+becomes a set, and its distinct words.  Distinct names are cut into parts once,
+as a table.  If all pairs are few they are scored in salted blocks.  Otherwise
+an inverted index brings names together: parts stand in one order, rarest first,
+and only the first ones that a threshold calls for are posted.  A pair is taken
+at the first part that both names hold, so none comes twice and nothing has to be
+made distinct; sizes and places of the parts bound the overlap before it is
+counted, and the score is that count: no pair is shuffled.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbelo.functions import text as X
+from arbelo.operators.tables import discard, materialize
+
+#: So many pairs at most are scored without an index, in so many blocks.
+ALL_PAIRS, BLOCKS = 4_000_000, 16
+EPS = 1e-9
 
 
 def _numbered(items: Column) -> Column:
@@ -13,32 +28,91 @@ def _numbered(items: Column) -> Column:
     return F.transform(items, lambda x, i: F.concat(x, F.size(F.filter(F.slice(items, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
 
 
-def _prefixes(rows: DataFrame, by: list[str], order: DataFrame, share: float) -> DataFrame:
-    """(by..., name, tok): of the n parts of a name, in the order of (frequency, part), the first n - ceil(share n) + 1.
+def cut(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by..., name, grams, words of the distinct names, as a table in the shared folder."""
+    names = materialize(rows.select(*by, "name").filter("name <> ''").distinct(), "names")
+    parts = names.withColumn("grams", X.bigrams(F.col("name"))).select(*by, "name", _numbered(F.col("grams")).alias("grams"), F.array_distinct(F.split("name", " ")).alias("words"))
+    out = materialize(parts, "name-parts")
+    discard(names)
+    return out
 
-    Two sets that share so many of either's parts share one of these.
-    """
-    apart = rows.select(*by, "name", F.explode("parts").alias("tok")).join(order, "tok", "left")
-    ranked = apart.groupBy(*by, "name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("p"))
-    n = F.size("p")
-    return ranked.select(*by, "name", F.explode(F.slice("p", F.lit(1), n - F.ceil(n * share - 1e-9).cast("int") + 1)).alias("x")).select(*by, "name", "x.tok")
 
+def _side(parts: DataFrame, by: list[str], s: str, *more: str) -> DataFrame:
+    return parts.select(*by, *more, *[F.col(c).alias(f"{c}_{s}") for c in ("name", "grams", "words")])
+
+
+def _shared(kind: str) -> Column:
+    return F.array_intersect(f"{kind}_a", f"{kind}_b")
+
+
+def _dice(shared: Column) -> Column:
+    return 2.0 * shared / (F.size("grams_a") + F.size("grams_b"))
+
+
+def _jaccard(shared: Column) -> Column:
+    return shared / (F.size("words_a") + F.size("words_b") - shared)
 
-def alike(left: DataFrame, right: DataFrame, least: float, by: list[str] | None = None, order: bool = False) -> DataFrame:
-    """(by..., a, b): pairs of names of left and right (by..., name) that agree in `by` and whose similarity can be `least` (over 0) or more.
 
-    A Dice of t takes t / (2 - t) of either name's bigrams, a Jaccard of t takes
-    t of either's words.  order: only pairs with a < b.
+def _ordered(parts: DataFrame, by: list[str], counts: DataFrame) -> DataFrame:
+    """parts with grams and words in the order of (frequency, part), each with the letter of its kind in front."""
+    each = parts.select(*by, "name", F.explode(F.concat(F.transform("grams", lambda x: F.concat(F.lit("g"), x)), F.transform("words", lambda x: F.concat(F.lit("w"), x)))).alias("part"))
+    placed = each.join(counts, "part", "left").groupBy(*by, "name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "part"))).alias("p"))
+    of = lambda kind: F.transform(F.filter("p", lambda x: F.startswith(x["part"], F.lit(kind))), lambda x: x["part"])
+    return placed.select(*by, "name", of("g").alias("grams"), of("w").alias("words"))
+
+
+def _posted(ordered: DataFrame, by: list[str], least: Column, s: str) -> DataFrame:
+    """A row per name and posted part, with the part's place; the overlap asked for leaves no other first shared part."""
+
+    def first(kind: str, share: Column) -> Column:
+        n = F.size(kind)
+        most = F.least(n, n - F.ceil(n * share - EPS).cast("int") + 1)
+        return F.transform(F.slice(kind, F.lit(1), most), lambda x, i: F.struct(x.alias("part"), i.alias("at")))
+
+    posted = F.explode(F.concat(first("grams", least / (2 - least)), first("words", least))).alias("x")
+    return _side(ordered.select(*by, "name", "grams", "words", posted), by, s, "x").select("*", F.col("x.part").alias("part"), F.col("x.at").alias(f"at_{s}")).drop("x")
+
+
+def scored(left: DataFrame, right: DataFrame, least: Column | float, by: list[str] | None = None, order: bool = False) -> DataFrame:
+    """(by..., a, b, s): pairs of names of left and right (by..., name) that agree in `by`, with a similarity s of `least` or more, over 0.
+
+    least may be an expression of the columns of `by`.  order: only pairs with a < b.
     """
     by = by or []
-    left, right = (side.select(*by, "name").filter("name <> ''").distinct() for side in (left, right))
-    pairs = []
-    for parts, share, few in ((lambda c: _numbered(X.bigrams(c)), least / (2 - least), True), (lambda c: F.array_distinct(F.split(c, " ")), least, False)):
-        a, b = (side.withColumn("parts", parts(F.col("name"))) for side in (left, right))
-        count = b.select(F.explode("parts").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-        count = F.broadcast(count) if few else count  # pairs of letters and digits: some thousands at most
-        x = _prefixes(a, by, count, share).withColumnRenamed("name", "a")
-        y = _prefixes(b, by, count, share).withColumnRenamed("name", "b")
-        met = x.join(y, [*by, "tok"])
-        pairs.append((met.filter("a < b") if order else met).select(*by, "a", "b"))
-    return pairs[0].unionByName(pairs[1]).distinct()
+    same = left is right
+    a = cut(left, by)
+    b = a if same else cut(right, by)
+    least = F.greatest(F.lit(EPS), least if isinstance(least, Column) else F.lit(float(least)))
+    n = [side.groupBy(*by).agg(F.count(F.lit(1)).alias(f"n{k}")) for k, side in enumerate((a, b))]
+    pairs = (n[0].join(n[1], by) if by else n[0].crossJoin(n[1])).agg(F.sum(F.col("n0").cast("double") * F.col("n1"))).first()[0] or 0  # without by: one row each
+    if pairs <= ALL_PAIRS:
+        x = _side(a, by, "a").withColumn("_salt", F.pmod(F.xxhash64("name_a"), F.lit(BLOCKS)))
+        y = _side(b, by, "b").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+        met = x.join(y, [*by, "_salt"])
+        met = met.filter("name_a < name_b") if order else met
+        met = met.withColumns({"dice": _dice(F.size(_shared("grams"))), "jac": _jaccard(F.size(_shared("words")))})
+        found = met.select(*by, F.col("name_a").alias("a"), F.col("name_b").alias("b"), F.greatest("dice", "jac").alias("s"))
+        return found.filter(F.col("s") >= least)
+    parts = b.select(F.explode(F.concat(F.transform("grams", lambda x: F.concat(F.lit("g"), x)), F.transform("words", lambda x: F.concat(F.lit("w"), x)))).alias("part"))
+    counts = materialize(parts.groupBy("part").agg(F.count(F.lit(1)).alias("df")), "part-counts")
+    x = materialize(_ordered(a, by, counts), "parts-in-order")
+    y = x if same else materialize(_ordered(b, by, counts), "parts-in-order")
+    discard(counts)
+    met = _posted(x, by, least, "a").join(_posted(y, by, least, "b"), [*by, "part"])
+    met = met.filter("name_a < name_b") if order else met
+    gram = F.startswith("part", F.lit("g"))
+    small = lambda kind: F.least(F.size(f"{kind}_a"), F.size(f"{kind}_b"))
+    rest = lambda kind: F.least(F.size(f"{kind}_a") - F.col("at_a"), F.size(f"{kind}_b") - F.col("at_b"))
+    both = lambda kind: F.size(f"{kind}_a") + F.size(f"{kind}_b")
+    asked = F.when(gram, least * both("grams") / 2).otherwise(least * both("words") / (1 + least)) - EPS
+    met = met.filter((F.when(gram, small("grams")).otherwise(small("words")) >= asked) & (F.when(gram, rest("grams")).otherwise(rest("words")) >= asked))
+    met = met.withColumns({"_g": _shared("grams"), "_w": _shared("words")}).filter(F.get(F.when(gram, F.col("_g")).otherwise(F.col("_w")), F.lit(0)) == F.col("part"))
+    met = met.withColumns({"dice": _dice(F.size("_g")), "jac": _jaccard(F.size("_w"))})
+    # pairs that the bigrams give are not given by the words again
+    met = met.filter(F.when(gram, F.col("dice") >= least).otherwise((F.col("jac") >= least) & (F.col("dice") < least)))
+    return met.select(*by, F.col("name_a").alias("a"), F.col("name_b").alias("b"), F.greatest("dice", "jac").alias("s"))
+
+
+def alike(left: DataFrame, right: DataFrame, least: float, by: list[str] | None = None, order: bool = False) -> DataFrame:
+    """(by..., a, b) of scored()."""
+    return scored(left, right, least, by, order).drop("s")

@@ -21,6 +21,19 @@ def numbered(rows: DataFrame, by: list[str], key: str, width: float, tie: str |
     return marked.join(before, [*by, "_range"]).withColumn(into, (F.col("_before") + inside).cast("long")).drop("_range", "_before")
 
 
+def running(rows: DataFrame, by: list[str], key: str, width: float, value: str, into: str) -> DataFrame:
+    """rows with the sum of `value` over all rows of `by` up to their key, those of one key together.
+
+    Sums per range of `width` key values are added up over a whole group; rows
+    are sorted within their range only.
+    """
+    marked = rows.withColumn("_range", F.floor(F.col(key) / width))
+    whole = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = marked.groupBy(*by, "_range").agg(F.sum(value).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(whole), F.lit(0))).drop("_c")
+    inside = F.sum(value).over(Window.partitionBy(*by, "_range").orderBy(key))
+    return marked.join(before, [*by, "_range"]).withColumn(into, (F.col("_before") + inside).cast("long")).drop("_range", "_before")
+
+
 def upper_median(rows: DataFrame, by: list[str], value: str, width: float) -> DataFrame:
     """Element floor(n / 2), from 0, of each group in order: only the range of values that holds it is sorted."""
     marked = rows.filter(F.col(value).isNotNull()).withColumn("_range", F.floor(F.col(value) / width))

@@ -1,7 +1,7 @@
 """Resolution of registry records into entities: ordered candidate edges, a constrained merge, identities, groups.
 
-Candidate edges depend on record fields only, so every rule is a self-join on a
-key.  The merge gives what a pass over them in one order gives under the rule
+Candidate edges depend on record fields only; all rules that join records by a
+key run as one self-join on (rule, key).  The merge gives what a pass over them in one order gives under the rule
 that two different valid ids never meet, in rounds of joins whose number grows
 with the logarithm of the largest component.  No group of records is gathered
 into one task.
@@ -9,6 +9,7 @@ into one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbelo.functions import text as X
-from arbelo.operators.alike import alike
+from arbelo.operators import ranking
+from arbelo.operators.alike import scored
 from arbelo.operators.tables import materialize
 
 
@@ -44,6 +46,23 @@ class Params:
         return replace(self, **changes)
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Records with the same key are one entity if their names reach the guard (0: whatever they are called) and, if asked, their city is the same."""
+
+    phase: int
+    key: Column
+    guard: float
+    same_city: bool = False
+
+
+#: The rule that tries all earlier records of a city.
+NEAR = 7
+# What the rules say of a merge, and how strong they are.
+REASONS = {
+    1: ("mesmo CNPJ válido", 1.0), 3: ("mesmo e-mail", 0.95), 4: ("mesmo telefone e nome parecido", 0.85), 5: ("mesmo domínio corporativo e nome parecido", 0.8),
+    6: ("mesmo endereço e nome parecido", 0.8), 7: ("nome quase idêntico na mesma cidade", 0.7),
+}
 EDGE = ["phase", "block", "pos_b", "pos_a", "a", "b", "motivo", "forca"]
 
 
@@ -53,42 +72,112 @@ def first_in_block(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     return rows.join(first, key)
 
 
-def guarded_edges(rows: DataFrame, key: str, guard: float, kind: str = "max", same_city: bool = False, every: bool = False) -> DataFrame:
-    """(a, b, pos_a, pos_b, block) from rows (pos, ref, nome, cidade, key): b to the first earlier row of its block that is similar enough.
+def near_names(rows: DataFrame, by: list[str], guard: Column | float, kind: str = "max") -> DataFrame:
+    """(by..., nome_a, nome_b): similar enough pairs, both ways and with itself, of the names of rows (by..., nome) that agree in `by`.
+
+    The numbers of Dice and Jaccard come from counted shared parts; the other
+    measures compare all names of a group.
+    """
+    names = rows.filter("nome <> ''").select(*by, "nome").distinct()
+    if kind == "max":
+        own = names.withColumnRenamed("nome", "name")
+        return scored(own, own, guard, by).select(*by, F.col("a").alias("nome_a"), F.col("b").alias("nome_b"))
+    pairs = names.withColumnRenamed("nome", "nome_a").join(names.withColumnRenamed("nome", "nome_b"), by)
+    return pairs.filter(X.name_similarity(F.col("nome_a"), F.col("nome_b"), kind) >= guard)
+
+
+def keyed_rows(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(rule, cell, pos, ref, nome, block): a row for each rule under which a record has a key; block: the first pos of the key.
+
+    A cell is the key, for rules that ask for one city together with it; where a
+    rule compares no names they are empty.  Records that cannot be an end (without
+    a name or city that a rule asks for) count for the block alone.
+    """
+    city, name = F.coalesce("cidade", F.lit("")), F.coalesce("nome", F.lit(""))
+
+    def under(r: Rule) -> Column:
+        cell = F.when(city != "", F.concat(r.key, F.lit("\u0001"), city)) if r.same_city else r.key
+        own = F.struct(F.lit(r.phase).alias("rule"), r.key.alias("key"), (F.when(name != "", cell) if r.guard > 0 else cell).alias("cell"), (name if r.guard > 0 else F.lit("")).alias("nome"))
+        return F.when(F.coalesce(r.key, F.lit("")) != "", own)
+
+    held = F.filter(F.array(*map(under, rules)), lambda x: x.isNotNull())
+    each = rows.select("pos", "ref", F.explode(held).alias("x")).select("x.*", "pos", "ref")
+    first = each.groupBy("rule", "key").agg(F.min("pos").alias("block"))
+    return each.join(first, ["rule", "key"]).filter("cell is not null").select("rule", "cell", "pos", "ref", "nome", "block")
+
+
+def rule_edges(keyed: DataFrame, near: DataFrame, every: Sequence[int] = ()) -> DataFrame:
+    """(rule, a, b, pos_a, pos_b, block): each record to the first earlier one of its cell whose name is near enough.
+
+    The rows of one name and cell are a class, and only its first can be such an
+    end, so the edges are as many as the records.  For rules in `every`, which
+    try all earlier records, there is an edge to the first of each near class:
+    records of a class already lie in one entity or in entities of different ids
+    when a later record comes, so whatever its attempts with the others merge, an
+    attempt with the first has merged; all that is left of the others is refusals
+    (refused_pairs).
+    """
+    firsts = keyed.groupBy("rule", "cell", F.col("nome").alias("nome_a")).agg(F.min(F.struct("pos", "ref", "block")).alias("first"))
+    # where names are not compared, the cell is one class
+    plain = firsts.filter("nome_a = ''").select("rule", "cell", "nome_a", F.col("nome_a").alias("nome_b"))
+    ends = near.select("rule", "cell", "nome_a", "nome_b").unionByName(plain).join(firsts, ["rule", "cell", "nome_a"])
+    tries_all = F.col("rule").isin(list(every)) if every else F.lit(False)
+    ends = ends.groupBy("rule", "cell", F.col("nome_b").alias("nome"), F.when(tries_all, F.col("nome_a")).otherwise("").alias("class")).agg(F.min("first").alias("first"))
+    found = keyed.drop("block").join(ends.select("rule", "cell", "nome", "first"), ["rule", "cell", "nome"]).filter("pos > first.pos")
+    return found.select("rule", F.col("first.ref").alias("a"), F.col("ref").alias("b"), F.col("first.pos").alias("pos_a"), F.col("pos").alias("pos_b"), F.col("first.block").alias("block"))
+
+
+def guarded_edges(rows: DataFrame, key: str, guard: float, kind: str = "max", same_city: bool = False) -> DataFrame:
+    """(a, b, pos_a, pos_b, block) from rows (pos, ref, nome, cidade, key): b to the first earlier row of its key that is similar enough.
+
+    A guard of 0 compares nothing.
+    """
+    keyed = materialize(keyed_rows(rows, [Rule(0, F.col(key).cast("string"), guard, same_city)]), "keyed")
+    return rule_edges(keyed, near_names(keyed, ["rule", "cell"], guard, kind)).drop("rule")
 
-    every: to all earlier rows that are.  Names are compared once per distinct
-    name and block, and only those that share a bigram (a positive similarity
-    needs one); a guard of 0 compares nothing.
+
+def earlier_near(keyed: DataFrame, near: DataFrame, width: int = 50_000) -> DataFrame:
+    """(rule, cell, ref, pos, n, first): of each record the number of earlier ones with a near name in its cell, and the first of them.
+
+    Positions of a class are counted per range of `width`, then inside each range:
+    no class has to fit one task, and no pair is made.
+    """
+    asks = keyed.join(near.withColumnRenamed("nome_b", "nome"), ["rule", "cell", "nome"]).select("rule", "cell", F.col("nome_a").alias("class"), "pos", "ref", F.lit(0).alias("one"))
+    marked = keyed.filter("nome <> ''").select("rule", "cell", F.col("nome").alias("class"), "pos", F.lit(None).cast("string").alias("ref"), F.lit(1).alias("one")).unionByName(asks)
+    counted = ranking.running(marked, ["rule", "cell", "class"], "pos", width, "one", "upto").filter("ref is not null")
+    firsts = keyed.groupBy("rule", "cell", F.col("nome").alias("class")).agg(F.min("pos").alias("first"))
+    # the running count holds a record itself in its own class, the others of its pos or before
+    own = keyed.select("rule", "cell", "ref", F.col("nome").alias("own"))
+    each = counted.join(own, ["rule", "cell", "ref"]).withColumn("n", F.col("upto") - (F.col("class") == F.col("own")).cast("int")).filter("n > 0").join(firsts, ["rule", "cell", "class"])
+    return each.groupBy("rule", "cell", "ref", "pos").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def _refusing_classes(keyed: DataFrame, near: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records with class and root, and the pairs of near classes of different roots with their sizes."""
+    placed = keyed.join(labels, "ref")
+    sizes = placed.groupBy("rule", "cell", "nome", "root").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda s: sizes.select("rule", "cell", *[F.col(c).alias(f"{c}_{s}") for c in ("nome", "root", "n")])
+    pairs = near.join(side("a"), ["rule", "cell", "nome_a"]).join(side("b"), ["rule", "cell", "nome_b"]).filter("root_a <> root_b")
+    return placed, pairs
+
+
+def refused_pairs(keyed: DataFrame, near: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rule, a, b, pos_a, pos_b, block): the attempts of rules that try all earlier records that were refused.
+
+    An attempt between two clusters is refused only if both have ids and these
+    differ, for good; any other leaves them in one entity.  So the refused ones
+    are those whose ends lie in two entities.  Only those are made.
     """
-    keyed = rows.filter((F.col(key) != "") & F.col(key).isNotNull()).select("pos", "ref", "nome", F.coalesce("cidade", F.lit("")).alias("cidade"), F.col(key).alias("key"))
-    keyed = first_in_block(keyed, "key").withColumnRenamed("first", "block")
-    if guard <= 0 and not every:
-        # every earlier row will do: the first of the block (and city)
-        by = ["key", "cidade"] if same_city else ["key"]
-        heads = keyed.filter("cidade <> ''") if same_city else keyed
-        heads = heads.groupBy(*by).agg(F.min("pos").alias("pos_a"), F.min_by("ref", "pos").alias("a"))
-        return keyed.join(heads, by).filter("pos > pos_a").select("a", F.col("ref").alias("b"), "pos_a", F.col("pos").alias("pos_b"), "block")
-    left, right = (keyed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("pos", "ref", "nome", "cidade")], "key", "block") for s in "ab")
-    names = keyed.filter("nome <> ''").select("key", "nome").distinct()
-    if kind == "max" and guard > 0:
-        pairs = alike(names.withColumnRenamed("nome", "name"), names.withColumnRenamed("nome", "name"), guard, ["key"]).select("key", F.col("a").alias("nome_a"), F.col("b").alias("nome_b"))
-    else:
-        pairs = names.withColumnRenamed("nome", "nome_a").join(names.withColumnRenamed("nome", "nome_b"), "key")
-    close = pairs.filter(X.name_similarity(F.col("nome_a"), F.col("nome_b"), kind) >= guard).select("key", "nome_a", "nome_b")
-    if not every:
-        # of the rows of one name only the first of its block can be an earlier end
-        left = left.groupBy("key", "nome_a", *(["cidade_a"] if same_city else [])).agg(F.min("pos_a").alias("pos_a"), F.min_by("ref_a", "pos_a").alias("ref_a"), F.first("block").alias("block"))
-    found = left.join(close, ["key", "nome_a"]).join(right.drop("block"), ["key", "nome_b"])
-    found = found.filter("pos_a < pos_b")
-    if same_city:
-        found = found.filter("cidade_a <> '' and cidade_a = cidade_b")
-    if not every:
-        found = found.groupBy("pos_b", "ref_b", "block").agg(F.min_by("ref_a", "pos_a").alias("ref_a"), F.min("pos_a").alias("pos_a"))
-    return found.select(F.col("ref_a").alias("a"), F.col("ref_b").alias("b"), "pos_a", "pos_b", "block")
-
-
-def _edges(found: DataFrame, phase: int, motivo: Column, forca: float) -> DataFrame:
-    return found.select(F.lit(phase).alias("phase"), F.col("block").cast("long").alias("block"), F.col("pos_b").cast("long").alias("pos_b"), F.col("pos_a").cast("long").alias("pos_a"), "a", "b", motivo.alias("motivo"), F.lit(forca).alias("forca"))
+    placed, pairs = _refusing_classes(keyed, near, labels)
+    end = lambda s: placed.select("rule", "cell", *[F.col(c).alias(f"{c}_{s}") for c in ("nome", "root", "pos", "ref")], *(["block"] if s == "a" else []))
+    made = pairs.drop("n_a", "n_b").join(end("a"), ["rule", "cell", "nome_a", "root_a"]).join(end("b"), ["rule", "cell", "nome_b", "root_b"]).filter("pos_a < pos_b")
+    return made.select("rule", F.col("ref_a").alias("a"), F.col("ref_b").alias("b"), "pos_a", "pos_b", "block")
+
+
+def refused_count(keyed: DataFrame, near: DataFrame, labels: DataFrame) -> int:
+    """How many rows refused_pairs() has, from the sizes of classes alone."""
+    _, pairs = _refusing_classes(keyed, near, labels)
+    return int((pairs.agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0) // 2)  # each pair comes both ways
 
 
 def corrections(cad: DataFrame, params: Params) -> DataFrame:
@@ -102,27 +191,56 @@ def corrections(cad: DataFrame, params: Params) -> DataFrame:
     return one.filter("n = 1").drop("n")
 
 
-def candidate_edges(cad: DataFrame, params: Params, fixed: DataFrame) -> DataFrame:
-    """All ordered merge attempts between registry records."""
-    k, group = params.sim, params.grupo != "atual"
-    same_id = guarded_edges(cad.withColumn("key", F.when(F.col("cnpjOk"), F.col("cnpj"))), "key", 0)
+def rules(params: Params) -> list[Rule]:
+    """The rules that join registry records by a key, in their order."""
+    group = params.grupo != "atual"
     out = [
-        same_id.select(F.lit(1).alias("phase"), F.lit(0).cast("long").alias("block"), F.col("pos_b").cast("long"), F.col("pos_a").cast("long"), "a", "b", F.lit("mesmo CNPJ válido").alias("motivo"), F.lit(1.0).alias("forca")),
-        fixed.select(
-            F.lit(2).alias("phase"), F.lit(0).cast("long").alias("block"), F.col("pos").cast("long").alias("pos_b"), F.col("pos_a").cast("long").alias("pos_a"), "a", F.col("ref").alias("b"),
-            F.concat(F.lit("CNPJ "), "de", F.lit(" com 1 dígito errado (DV inválido); corrigido para "), "para").alias("motivo"), F.lit(0.9).alias("forca"),
-        ),
-        _edges(guarded_edges(cad, "email", 0, k, group), 3, F.lit("mesmo e-mail"), 0.95),
-        _edges(guarded_edges(cad.withColumn("key", F.when(F.length("fone") == 8, F.col("fone"))), "key", params.guardaFone, k), 4, F.lit("mesmo telefone e nome parecido"), 0.85),
+        Rule(1, F.when(F.col("cnpjOk"), F.col("cnpj")), 0.0),
+        Rule(3, F.col("email"), 0.0, group),
+        Rule(4, F.when(F.length("fone") == 8, F.col("fone")), params.guardaFone),
+        Rule(5, X.company_domain(F.col("email")), params.guardaDominio, group),
+        Rule(6, F.when(F.col("end.chave").isNotNull(), F.concat("end.chave", F.lit("|"), "end.cidade")), params.guardaEnd),
+        Rule(NEAR, F.when(F.coalesce("cidade", F.lit("")) == "", F.lit("?")).otherwise(F.col("cidade")), params.quaseIdentico),
     ]
-    if params.grupo != "pendente":
-        out.append(_edges(guarded_edges(cad.withColumn("key", X.company_domain(F.col("email"))), "key", params.guardaDominio, k, group), 5, F.lit("mesmo domínio corporativo e nome parecido"), 0.8))
-    out.append(_edges(guarded_edges(cad.withColumn("key", F.when(F.col("end.chave").isNotNull(), F.concat("end.chave", F.lit("|"), "end.cidade"))), "key", params.guardaEnd, k), 6, F.lit("mesmo endereço e nome parecido"), 0.8))
-    out.append(_edges(guarded_edges(cad.withColumn("key", F.when(F.coalesce("cidade", F.lit("")) == "", F.lit("?")).otherwise(F.col("cidade"))), "key", params.quaseIdentico, k, every=True), 7, F.lit("nome quase idêntico na mesma cidade"), 0.7))
-    edges = out[0]
-    for more in out[1:]:
-        edges = edges.unionByName(more.select(*EDGE))
-    return edges
+    return [r for r in out if r.phase != 5 or params.grupo != "pendente"]
+
+
+@dataclass(frozen=True)
+class Attempts:
+    """What was tried to merge: ordered edges, and for the rule of near-identical names its classes."""
+
+    edges: DataFrame
+    keyed: DataFrame
+    near: DataFrame
+
+    def refused(self, refused: DataFrame, labels: DataFrame) -> DataFrame:
+        """All refused attempts: those of the merge, and of near-identical names every pair."""
+        pairs = refused_pairs(self.keyed.filter(F.col("rule") == NEAR), self.near.filter(F.col("rule") == NEAR), labels)
+        return refused.filter(F.col("phase") != NEAR).unionByName(_told(pairs).select(*EDGE))
+
+    def refused_count(self, refused: DataFrame, labels: DataFrame) -> int:
+        return refused.filter(F.col("phase") != NEAR).count() + refused_count(self.keyed.filter(F.col("rule") == NEAR), self.near.filter(F.col("rule") == NEAR), labels)
+
+
+def _told(found: DataFrame) -> DataFrame:
+    """Found edges (rule, a, b, pos_a, pos_b, block) as attempts in their order."""
+    pick = lambda k: reduce(lambda c, kv: c.when(F.col("rule") == kv[0], kv[1][k]), REASONS.items(), F.when(F.lit(False), REASONS[1][k]))
+    # one id is one block, whatever its first record
+    block = F.when(F.col("rule") == 1, 0).otherwise(F.col("block"))
+    return found.select(F.col("rule").alias("phase"), block.cast("long").alias("block"), F.col("pos_b").cast("long").alias("pos_b"), F.col("pos_a").cast("long").alias("pos_a"), "a", "b", pick(0).alias("motivo"), pick(1).alias("forca"))
+
+
+def candidate_edges(cad: DataFrame, params: Params, fixed: DataFrame) -> Attempts:
+    """The ordered merge attempts between registry records, of all rules in one pass."""
+    asked = rules(params)
+    keyed = materialize(keyed_rows(cad, asked), "keyed")
+    guard = reduce(lambda c, r: c.when(F.col("rule") == r.phase, F.lit(r.guard)), asked, F.when(F.lit(False), F.lit(0.0)))
+    near = materialize(near_names(keyed, ["rule", "cell"], guard, params.sim), "near-names")
+    corrected = fixed.select(
+        F.lit(2).alias("phase"), F.lit(0).cast("long").alias("block"), F.col("pos").cast("long").alias("pos_b"), F.col("pos_a").cast("long").alias("pos_a"), "a", F.col("ref").alias("b"),
+        F.concat(F.lit("CNPJ "), "de", F.lit(" com 1 dígito errado (DV inválido); corrigido para "), "para").alias("motivo"), F.lit(0.9).alias("forca"),
+    )
+    return Attempts(_told(rule_edges(keyed, near, [NEAR])).unionByName(corrected), keyed, near)
 
 
 def _contracted(picks: DataFrame) -> DataFrame:

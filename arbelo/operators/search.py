@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arbelo.functions import text as X
 from arbelo.operators import ranking
-from arbelo.operators.alike import alike
+from arbelo.operators.alike import scored
 
 
 #: Names of a salted block.
@@ -27,23 +27,17 @@ def crossed(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def candidates(queries: DataFrame, names: DataFrame, sim: str = "max", least: float = 0.0) -> DataFrame:
-    """(q, query, nome, s): similarity of every query to every name that shares a bigram with it, or, for the measures by characters, a character.
+    """(q, query, nome, s): similarity of every query to every name that shares a bigram or word with it, or, for the measures by characters, a character.
 
     least: pairs below it are not wanted; queries and names then meet on their rarest bigrams and words only.
     """
     known = names.select("nome").distinct()
-    if sim == "max" and least > 0:
-        asked = queries.select("q", "query").distinct()
-        met = alike(asked.select(F.col("query").alias("name")), known.select(F.col("nome").alias("name")), least)
-        scored = met.select(F.col("a").alias("query"), F.col("b").alias("nome")).withColumn("s", X.name_similarity(F.col("query"), F.col("nome"), sim)).filter(F.col("s") >= least)
-        return asked.join(scored, "query").select("q", "query", "nome", "s")
     if sim == "max":
-        asked = queries.select("q", "query", F.explode(F.array_distinct(X.bigrams(F.col("query")))).alias("g"))
-        known = known.select("nome", F.explode(F.array_distinct(X.bigrams(F.col("nome")))).alias("g"))
-        pairs = asked.join(known, "g").select("q", "query", "nome").distinct()
-    else:
-        share = F.arrays_overlap(F.split("query", ""), F.split("nome", "")) | (F.col("query") == F.col("nome"))
-        pairs = crossed(queries.select("q", "query").distinct(), known).filter(share)
+        asked = queries.select("q", "query").distinct()
+        met = scored(asked.select(F.col("query").alias("name")), known.select(F.col("nome").alias("name")), least)
+        return asked.join(met.select(F.col("a").alias("query"), F.col("b").alias("nome"), "s"), "query").select("q", "query", "nome", "s")
+    share = F.arrays_overlap(F.split("query", ""), F.split("nome", "")) | (F.col("query") == F.col("nome"))
+    pairs = crossed(queries.select("q", "query").distinct(), known).filter(share)
     return pairs.withColumn("s", X.name_similarity(F.col("query"), F.col("nome"), sim))
 
 

@@ -7,15 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of an application whose spark.checkpoint.dir is unset; Spark does not let it be set later.
+_OWN: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, for local masters only, a folder of this machine."""
+    """spark.checkpoint.dir; where it is unset, for local masters only, one folder of this machine for the application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="arbelo-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="arbelo-")
+        folder = _OWN[app]
     return folder.rstrip("/")
 
 
@@ -23,4 +28,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends here, and lost executors lose nothing."""
     path = f"{shared_folder(df.sparkSession)}/arbelo/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arbelo.functions import text as X
 from arbelo.operators import resolve, search
+from arbelo.operators.tables import materialize
 from arbelo.plans.tables import table
 
 
@@ -177,8 +178,9 @@ GUARDED_BLOCK_EDGES = f"""
 
 
 def near_identical_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve.guarded_edges(_parts(spark, sf_dir, "p_type"), "key", 0.86, every=True)
-    return found.groupBy(F.col("pos_b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("pos_a").alias("first"))
+    keyed = materialize(resolve.keyed_rows(_parts(spark, sf_dir, "p_type"), [resolve.Rule(resolve.NEAR, F.col("key"), 0.86)]), "keyed")
+    found = resolve.earlier_near(keyed, resolve.near_names(keyed, ["rule", "cell"], 0.86))
+    return found.select(F.col("pos").alias("b"), "n", "first")
 
 
 NEAR_IDENTICAL_BLOCK = f"""
