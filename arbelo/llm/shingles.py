@@ -1,22 +1,24 @@
 r"""Sets of word shingles as 64-bit hashes, for many texts at once.
 
-Words are `[^\x20\x09-\x0D]+` after lower-casing A-Z.  A word's hash is a
-polynomial in its bytes modulo 2^64, so the hashes of all words of a block of
-texts are differences of one running sum; a shingle's hash is a polynomial in
-the hashes of its words.  Memory is bounded by a block of texts, or one text.
+Words are `[^\x20\x09-\x0D]+` after lower-casing A-Z.  A word's hash mixes its
+length and its bytes, eight at a time, each step by a function that is no
+polynomial; words of more than `LONG` bytes are hashed by BLAKE2.  All words of a
+block of texts take a step together.  A shingle's hash is a polynomial in the
+hashes of its words, mixed again.  Memory is bounded by a block of texts, or one
+text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of texts hashed together, and of words under one running sum.
-BLOCK_BYTES, PIECE = 2 << 20, 1 << 20
-_BASE = 0x9E3779B97F4A7C15
+#: Bytes of texts hashed together, and of words that are hashed eight bytes at a time.
+BLOCK_BYTES, LONG = 2 << 20, 256
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
@@ -31,68 +33,38 @@ def fingerprint(flat: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
     return np.add.reduceat(mixed(flat ^ _MIX[salt]), starts).view(np.int64)
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(PIECE, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Tables:
-    """Powers of the base and of its inverse, a value per byte, and which bytes separate words."""
-
-    def __init__(self):
-        self.up, self.down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
-        self.byte = mixed(np.arange(1, 257, dtype=np.uint64) * _MIX[0])
-        self.byte[65:91] = self.byte[97:123]
-        self.blank = np.zeros(256, bool)
-        self.blank[[9, 10, 11, 12, 13, 32]] = True
-
-
-_tables: list[_Tables] = []
-
-
-def _get() -> _Tables:
-    if not _tables:
-        _tables.append(_Tables())
-    return _tables[0]
-
-
-def _long_word(word: np.ndarray) -> int:
-    t, total, scale = _get(), 0, 1
-    for i in range(0, len(word), PIECE):
-        part = word[i : i + PIECE]
-        total += int((t.byte[part] * t.up[: len(part)]).sum(dtype=np.uint64)) * scale
-        scale = scale * pow(_BASE, PIECE, 1 << 64) % (1 << 64)
-    return total % (1 << 64)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The first k bytes of eight, least first.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word of `data`: bytes of texts laid end to end, which begin at `starts`."""
-    t = _get()
     if not len(data):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    blank = t.blank[data]
+    blank = _BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[starts] = edge[-1] = True
     before, after = edge[:-1].copy(), edge[1:].copy()
     before[1:] |= blank[:-1]
     after[:-1] |= blank[1:]
-    begins, ends = np.flatnonzero(before & ~blank), np.flatnonzero(after & ~blank)
-    out = np.empty(len(begins), np.uint64)
-    i = 0
-    while i < len(begins):
-        lo = int(begins[i])
-        j = max(i + 1, int(np.searchsorted(ends, lo + PIECE)))
-        hi = int(ends[j - 1]) + 1
-        if hi - lo > PIECE:
-            out[i] = _long_word(data[lo:hi])
-        else:
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(t.byte[data[lo:hi]] * t.up[: hi - lo], out=total[1:])
-            a = begins[i:j] - lo
-            out[i:j] = (total[ends[i:j] - lo + 1] - total[a]) * t.down[a]
-        i = j
-    return mixed(out), begins
+    begins, ends = np.flatnonzero(before & ~blank), np.flatnonzero(after & ~blank) + 1
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = _LOWER[data]
+    eight = np.ndarray((len(data) + 1,), "<u8", low.data, strides=(1,))  # the eight bytes from each place on
+    size = ends - begins
+    out = mixed(size.astype(np.uint64) + _MIX[0])
+    i, at, left = np.arange(len(begins)), begins, np.where(size <= LONG, size, 0)
+    while len(i):
+        out[i] = mixed((out[i] ^ (eight[at] & _HEAD[np.minimum(left, 8)])) * _MIX[0] + _MIX[2])
+        more = left > 8
+        i, at, left = i[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(low[begins[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out, begins
 
 
 def _rolled(h: np.ndarray, wide: int) -> np.ndarray:
