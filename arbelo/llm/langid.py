@@ -2,9 +2,9 @@ r"""Language ID (operator 10): script ranges, word scores, and a Viterbi pass wi
 
 Fit: a sample of `SAMPLE` labelled rows (give or take their square root)
 outside the held-out fold, a documented bound, gives the counts of letter
-n-grams per language; those that fewer than `GRAM_LEAST` words of it hold count as unseen.  A word's score for a language is the sum of its
-n-grams' log-probabilities; only languages that write the word's script (by
-ranges of code points) are candidates.  Over the words of a text, Viterbi finds
+n-grams per language, however rare, each with half a count more.  A word's score
+for a language is the sum of its n-grams' log-probabilities; only languages that
+write the word's script (by ranges of code points) are candidates.  Over the words of a text, Viterbi finds
 the best sequence of languages when each switch costs `SWITCH`; runs of one
 language are spans, and the language with most letters is the text's.
 
@@ -16,6 +16,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from arbelo.llm.common import fold, free_name, materialize
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE, GRAM_LEAST, SWITCH = 8_000, 5, 12.0
+SAMPLE, SWITCH = 8_000, 12.0
 SCRIPT_LEAST = 0.001  # share of a language's letters that makes it write a script
 UNDETERMINED = "und"
 CACHE_WORDS, BATCH_WORDS = 300_000, 300_000
@@ -66,6 +67,11 @@ def grams(word: str) -> list[str]:
     return [*w, *(w[i : i + 2] for i in range(len(w) - 1)), *(w[i : i + 3] for i in range(len(w) - 2))]
 
 
+def _code(gram: str) -> int:
+    """One to three letters as a number of their own."""
+    return functools.reduce(lambda n, c: n << 21 | ord(c), gram, 0)
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
     """langs, grams (n-gram -> log-probability per language), unseen, scripts: plain data, to be broadcast."""
     usable = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (fold("k", FOLDS) != HELD_OUT))
@@ -88,8 +94,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     counts = materialize(chosen.select("t", "l").mapInArrow(count, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "gram-counts")
     # n-grams of one to three letters, of a bounded sample: the table is bounded too
-    top = counts.filter(F.col("g").startswith("g")).groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= GRAM_LEAST)
-    rows = counts.join(top.select("g"), "g").collect()
+    rows = counts.filter(F.col("g").startswith("g")).collect()
     scripts = counts.filter(F.col("g").startswith("s")).collect()  # languages x scripts
     langs = sorted({r.l for r in scripts})
     at = {l: i for i, l in enumerate(langs)}
@@ -113,19 +118,26 @@ class Labeller:
 
     def __init__(self, model: dict, switch: float = SWITCH):
         self.model, self.switch, self.known = model, switch, {}
-        self.at = {g: i + 1 for i, g in enumerate(model["grams"])}  # 0: a gram never seen
-        self.table = np.vstack([model["unseen"], *model["grams"].values()])
+        codes = np.array([_code(g) for g in model["grams"]], np.int64)
+        order = np.argsort(codes)
+        self.codes = codes[order]
+        rows = np.array([*model["grams"].values()]).reshape(len(codes), -1)[order] if len(codes) else np.empty((0, len(model["unseen"])))
+        self.table = np.vstack([rows, model["unseen"]])  # the last row: a gram never seen
         self.scores = np.empty((0, len(model["langs"])))
 
     def _learn(self, new: list[str]) -> None:
         """Scores of new words: sums over their grams, all at once."""
-        get = self.at.get
-        ids, starts = [], []
         for w in new:
             self.known[w] = len(self.known)
-            starts.append(len(ids))
-            ids += [get(g, 0) for g in grams(w)]
-        total = np.add.reduceat(self.table[np.array(ids)], starts, axis=0)
+        lens = np.fromiter(map(len, new), np.int64, len(new)) + 2
+        c = np.frombuffer(f"^{'$^'.join(new)}$".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
+        left = np.repeat(starts + lens, lens) - np.arange(len(c))  # letters from each place to its word's end
+        two, three = np.flatnonzero(left >= 2), np.flatnonzero(left >= 3)
+        pairs = c[two] << 21 | c[two + 1]
+        total = self._summed(c, starts)
+        total += self._summed(pairs, starts - np.arange(len(starts)))
+        total += self._summed(c[three] << 42 | c[three + 1] << 21 | c[three + 2], starts - 2 * np.arange(len(starts)))
         total -= total.max(axis=1, keepdims=True)
         for name, own in self.model["scripts"].items():
             if own.any() and not own.all():
@@ -133,6 +145,13 @@ class Labeller:
                 total[np.ix_(these, np.flatnonzero(~own))] = -1e6
         self.scores = np.vstack([self.scores, total])
 
+    def _summed(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Rows of the table of grams by code, summed from each start on."""
+        at = np.searchsorted(self.codes, codes)
+        if len(self.codes):
+            at[self.codes[np.minimum(at, len(self.codes) - 1)] != codes] = len(self.codes)
+        return np.add.reduceat(self.table[at], starts, axis=0)
+
     def _settled(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """For each text the language that all its words have on the best path, or -1 where only a pass can tell.
 
