@@ -21,27 +21,64 @@ def sniff_separator(header: str) -> str:
     return max(SEPARATORS, key=lambda s: (len(header.split(s)), -SEPARATORS.index(s)))
 
 
+#: Stands for a separator inside quotes while a row is cut: a code point that is no character.
+_HELD = "\uffff"
+
+
+def _fields(row: Column, sep: str) -> Column:
+    """The fields of a CSV row: a quote opens and closes wherever it stands, two inside quotes are one.
+
+    Cut at the quotes, every second piece lies inside; an empty piece between two
+    of those is a doubled quote.
+    """
+    pieces = F.split(row, '"', -1)
+
+    def piece(x: Column, i: Column) -> Column:
+        return F.when(i % 2 == 1, F.replace(x, F.lit(sep), F.lit(_HELD))).when((x == "") & (i > 0) & (i < F.size(pieces) - 1), '"').otherwise(x)
+
+    cut = F.split(F.array_join(F.transform(pieces, piece), ""), re.escape(sep), -1)
+    return F.when(F.contains(row, F.lit('"')), F.transform(cut, lambda x: F.replace(x, F.lit(_HELD), F.lit(sep)))).otherwise(F.split(row, re.escape(sep), -1))
+
+
+def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(_path, _row, value): the rows of CSV files, numbered from 1 (the header) in each file; empty lines between rows do not count.
+
+    A file is read by splits.  Whether a line begins inside quotes is the parity
+    of the quotes before it: a running sum over the lines of its split, and over
+    the sums of the splits before it.  Only rows that span lines are put together
+    from them; all others stay as they were read.
+    """
+    at = ["_path", "_start"]
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.replace("value", F.lit("\r"), F.lit("")).alias("value"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    lines = lines.withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    in_split = Window.partitionBy(*at).orderBy("_id")
+    lines = lines.withColumn("_odd", (F.coalesce(F.sum("_quotes").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2).cast("int"))
+    # of either parity at a split's start: how many rows begin in it
+    begins = lambda parity: F.count_if((F.col("_odd") == parity) & (F.col("value") != ""))
+    splits = lines.groupBy(*at).agg(F.sum("_quotes").alias("q"), begins(0).alias("n0"), begins(1).alias("n1"))
+    before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_turned", (F.coalesce(F.sum("q").over(before), F.lit(0)) % 2).cast("int"))
+    splits = splits.withColumn("_before", F.coalesce(F.sum(F.when(F.col("_turned") == 0, F.col("n0")).otherwise(F.col("n1"))).over(before), F.lit(0)))
+    known = lines.join(splits.select(*at, "_turned", "_before"), at).withColumn("_inside", F.col("_odd") != F.col("_turned"))
+    known = known.filter("_inside or value <> ''").withColumn("_row", F.col("_before") + F.sum(F.when(F.col("_inside"), 0).otherwise(1)).over(in_split))
+    whole = ~F.col("_inside") & (F.col("_quotes") % 2 == 0)
+    spread = known.filter(~whole).groupBy("_path", "_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_id", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return known.filter(whole).select("_path", "_row", "value").unionByName(spread)
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ";", trim: bool = False) -> DataFrame:
     """All columns as text ('' where empty), `_file`, and `_linha`, the row's ordinal plus one.
 
-    Quoted fields may hold line breaks, so a file is one task; many files are
-    read side by side.  Rows of less than two fields are left out.
+    Quoted fields may hold line breaks; even so many tasks read one file, by its
+    splits.  Rows of less than two fields are left out (not of files of one column).
     """
-    reader = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").option("inferSchema", False).option("ignoreLeadingWhiteSpace", False)
-    names = reader.csv(path).columns
-    # Spark keeps the text of rows whose number of fields is not that of the header
-    odd = "_odd_row"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, odd]])
-    raw = reader.option("columnNameOfCorruptRecord", odd).schema(schema).csv(path)
-    rows = raw.select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id"))
+    names = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("inferSchema", False).csv(path).columns  # reads the first row
+    rows = _csv_rows(spark, path).filter("_row > 1").withColumn("_f", _fields(F.col("value"), sep))
     if len(names) > 1:
-        one_field = F.col(odd).isNotNull() & F.col(f"`{names[1]}`").isNull() & ~F.contains(F.regexp_replace(odd, '"[^"]*"', ""), F.lit(sep))
-        rows = rows.withColumn("_kept", ~one_field)
-    else:
-        rows = rows.withColumn("_kept", F.lit(True))
-    first = rows.groupBy("_path").agg(F.min("_id").alias("_first"))  # a file is read by one task: its ids are consecutive
+        rows = rows.filter(F.size("_f") > 1)
     clean = (lambda c: F.trim(c)) if trim else (lambda c: c)
-    return rows.join(first, "_path").withColumn("_file", _base_name(F.col("_path"))).filter("_kept").select(*[clean(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c.strip() if trim else c) for c in names], "_file", (F.col("_id") - F.col("_first") + 2).cast("long").alias("_linha"))
+    cells = [clean(F.coalesce(F.get("_f", F.lit(i)), F.lit(""))).alias(c.strip() if trim else c) for i, c in enumerate(names)]
+    return rows.select(*cells, _base_name(F.col("_path")).alias("_file"), F.col("_row").cast("long").alias("_linha"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -102,9 +139,10 @@ def read_source(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
         whole = spark.read.option("primitivesAsString", True).option("multiLine", True).json(path)
         lists = [f.name for f in whole.schema.fields if isinstance(f.dataType, T.ArrayType)]
         if lists:
-            # an object: its first array in the order of the text
-            text = spark.read.text(path, wholetext=True).first().value
-            first = min(lists, key=lambda n: m.start() if (m := re.search(rf'"{re.escape(n)}"\s*:\s*\[', text)) else len(text))
+            # an object: its first array in the order of the text; only the places come to the driver
+            text = spark.read.text(path, wholetext=True)
+            places = text.select(*[F.regexp_instr("value", F.lit(rf'"{re.escape(n)}"\s*:\s*\[')).alias(str(i)) for i, n in enumerate(lists)]).first()
+            first = min(zip(places, lists, strict=True), key=lambda x: x[0] or float("inf"))[1]
             whole = whole.select(F.posexplode(f"`{first}`").alias("_pos", "_o"))
             rows = whole.select("_o.*", "_pos") if isinstance(whole.schema["_o"].dataType, T.StructType) else whole.select(F.col("_o").alias("valor"), "_pos")
             return "tabela", flatten(rows.withColumn("_linha", F.col("_pos") + 1).drop("_pos")).withColumn("_linha", F.col("_linha").cast("long"))
