@@ -30,11 +30,8 @@ def _numbered(items: Column) -> Column:
 
 def cut(rows: DataFrame, by: list[str]) -> DataFrame:
     """by..., name, grams, words of the distinct names, as a table in the shared folder."""
-    names = materialize(rows.select(*by, "name").filter("name <> ''").distinct(), "names")
-    parts = names.withColumn("grams", X.bigrams(F.col("name"))).select(*by, "name", _numbered(F.col("grams")).alias("grams"), F.array_distinct(F.split("name", " ")).alias("words"))
-    out = materialize(parts, "name-parts")
-    discard(names)
-    return out
+    names = rows.select(*by, "name").filter("name <> ''").distinct().withColumn("grams", X.bigrams(F.col("name")))
+    return materialize(names.select(*by, "name", _numbered(F.col("grams")).alias("grams"), F.array_distinct(F.split("name", " ")).alias("words")), "name-parts")
 
 
 def _side(parts: DataFrame, by: list[str], s: str, *more: str) -> DataFrame:

@@ -42,21 +42,27 @@ def invoices(rows: DataFrame) -> DataFrame:
     return rows.select(_line("nf"), F.concat(F.lit("nf:"), "nf").alias("ref"), F.lit("nf").alias("fonte"), _origin("erp_notas.csv"), F.lit("fato").alias("papel"), F.col("cod_erp").alias("cod"), F.col("emissao").alias("data"), F.col("valor").cast("double").alias("valor"), "situacao")
 
 
+# How contracts and addenda are written: number, party with tax id and address, date, monthly amount; date and text of an addendum.
+CONTRACT_NUMBER = r"CONTRATO DE FORNECIMENTO (\S+)"
+CONTRACT_PARTY = r"CONTRATANTE:\s*(.+?), inscrita no CNPJ ([\d./-]+), com sede em (.+?)\.\n"
+CONTRACT_DATE = r"Curitiba, (\d{4}-\d{2}-\d{2})"
+CONTRACT_AMOUNT = r"R\$\s*([\d.]+,\d{2})"
+ADDENDUM = r"TERMO ADITIVO \((\d{4}-\d{2}-\d{2})\) ---\n(.+)"
+
+
 def contracts(texts: DataFrame, remove_noise: bool = True) -> DataFrame:
     """A registry record per contract and a fact per addendum, in order of file names."""
     t = F.col("texto")
-    party = "CONTRATANTE:\\s*(.+?), inscrita no CNPJ ([\\d./-]+), com sede em (.+?)\\.\\n"
     digits = X.digits(F.col("arquivo"))
     place = F.when(digits != "", F.substring(digits, -11, 11).cast("long")).otherwise(F.conv(F.substring(F.md5("arquivo"), 1, 9), 16, 10).cast("long"))
     pos = F.lit(SOURCES["contrato"] * _SLOT) + place * 2
-    number = F.regexp_extract(t, "CONTRATO DE FORNECIMENTO (\\S+)", 1)
-    signed = F.regexp_extract(t, "Curitiba, (\\d{4}-\\d{2}-\\d{2})", 1)
-    amount = F.regexp_extract(t, "R\\$\\s*([\\d.]+,\\d{2})", 1)
-    base = texts.select(pos.alias("pos"), "arquivo", "texto", F.when(number != "", number).otherwise(F.col("arquivo")).alias("num"), signed.alias("data"), F.when(amount != "", X.money(amount)).otherwise(0.0).alias("valorMensal"), *[F.regexp_extract(t, party, k).alias(n) for k, n in ((1, "_nome"), (2, "_cnpj"), (3, "_end"))])
+    number = F.regexp_extract(t, CONTRACT_NUMBER, 1)
+    signed = F.regexp_extract(t, CONTRACT_DATE, 1)
+    amount = F.regexp_extract(t, CONTRACT_AMOUNT, 1)
+    base = texts.select(pos.alias("pos"), "arquivo", "texto", F.when(number != "", number).otherwise(F.col("arquivo")).alias("num"), signed.alias("data"), F.when(amount != "", X.money(amount)).otherwise(0.0).alias("valorMensal"), *[F.regexp_extract(t, CONTRACT_PARTY, k).alias(n) for k, n in ((1, "_nome"), (2, "_cnpj"), (3, "_end"))])
     registry = base.select("pos", F.concat(F.lit("ct:"), "num").alias("ref"), F.lit("contrato").alias("fonte"), F.concat(F.lit("contratos/"), "arquivo").alias("origem"), *_registry(F.col("_nome"), F.col("_cnpj"), F.col("_end"), remove_noise), F.col("data").alias("dataEnd"), "data", "valorMensal", "num")
-    addendum = "TERMO ADITIVO \\((\\d{4}-\\d{2}-\\d{2})\\) ---\\n(.+)"
-    date = F.regexp_extract(t, addendum, 1)
-    facts = base.filter(t.rlike(addendum)).select((F.col("pos") + 1).alias("pos"), F.concat(F.lit("ct:"), "num", F.lit("#ad1")).alias("ref"), F.lit("aditivo").alias("fonte"), F.concat(F.lit("contratos/"), "arquivo", F.lit(" (aditivo)")).alias("origem"), F.lit("fato").alias("papel"), F.concat(F.lit("ct:"), "num").alias("pai"), date.alias("data"), X.address(X.address_in_text(F.regexp_extract(t, addendum, 2))).alias("end"), date.alias("dataEnd"))
+    date = F.regexp_extract(t, ADDENDUM, 1)
+    facts = base.filter(t.rlike(ADDENDUM)).select((F.col("pos") + 1).alias("pos"), F.concat(F.lit("ct:"), "num", F.lit("#ad1")).alias("ref"), F.lit("aditivo").alias("fonte"), F.concat(F.lit("contratos/"), "arquivo", F.lit(" (aditivo)")).alias("origem"), F.lit("fato").alias("papel"), F.concat(F.lit("ct:"), "num").alias("pai"), date.alias("data"), X.address(X.address_in_text(F.regexp_extract(t, ADDENDUM, 2))).alias("end"), date.alias("dataEnd"))
     return registry.unionByName(facts, allowMissingColumns=True)
 
 
