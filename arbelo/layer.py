@@ -37,6 +37,7 @@ class EntityLayer:
     n_refused: int
     corrections: DataFrame
     pending: DataFrame
+    resolved: DataFrame  # entities as the registry alone gives them, before mentions teach them e-mails
 
     @classmethod
     def build(cls, sources: dict[str, DataFrame], params: Params = Params()) -> EntityLayer:
@@ -52,7 +53,7 @@ class EntityLayer:
         cad = cad.join(fixed.select("ref", F.col("para").alias("cnpjCorrigido")), "ref", "left")
         member, ents = resolve.entities(cad, labels)
         member, ents = materialize(member, "membership"), materialize(ents, "entities")
-        groups = materialize(resolve.economic_groups(ents), "groups")
+        groups, resolved = materialize(resolve.economic_groups(ents), "groups"), ents
         invoices = rows.filter("fonte = 'nf'").select("ref", "cod", "pos").join(cad.filter("fonte = 'erp'").select("cod", F.col("ref").alias("r")), "cod").join(member.select(F.col("ref").alias("r"), "id"), "r")
         addenda = rows.filter("fonte = 'aditivo'").select("ref", "pos", F.col("pai").alias("r")).join(member.select(F.col("ref").alias("r"), "id"), "r")
         links, pending = mentions.link(rows.filter("papel = 'mencao'"), cad, member, ents, groups, params)
@@ -63,7 +64,11 @@ class EntityLayer:
         if params.aprendeEmail:
             strong = links.filter(~F.col("motivo").rlike("nome parecido|contato conhecido")).join(rows.select("ref", "email"), "ref").filter("email <> ''").groupBy("id").agg(F.collect_set("email").alias("learned"))
             ents = ents.join(strong, "id", "left").withColumn("emails", F.array_union("emails", F.coalesce("learned", F.array().cast("array<string>")))).drop("learned")
-        return cls(params, materialize(rows, "records"), materialize(placed, "membership"), materialize(ents, "entities"), groups, merges, tried.refused(refused, labels), tried.refused_count(refused, labels), fixed, pending)
+        return cls(params, materialize(rows, "records"), materialize(placed, "membership"), materialize(ents, "entities"), groups, merges, tried.refused(refused, labels), tried.refused_count(refused, labels), fixed, pending, resolved)
+
+    def registry(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """What mentions are linked against: registry records, their entities, the entities, their groups."""
+        return self.records.filter("papel = 'cadastro'"), self.membership.filter("kind = 0").select("ref", "id"), self.resolved, self.groups
 
     # -- what a role sees ---------------------------------------------------
 

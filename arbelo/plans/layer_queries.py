@@ -8,6 +8,7 @@ orders are invoices; events are e-mails and tickets, some from unknown senders.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from arbelo.functions import text as X
 from arbelo.layer import EntityLayer
 from arbelo.operators import access
-from arbelo.operators.tables import materialize
+from arbelo.operators.tables import materialize, shared_folder
 from arbelo.plans.tables import table
+from arbelo.streaming import mentions
 
 _layers: dict[tuple[str, str], EntityLayer] = {}
 
@@ -118,6 +120,18 @@ LAYER_MENTIONS = f"""
     WITH {_BASE} SELECT ref, id, CASE WHEN id IS NULL THEN 'nome digitado não se parece o bastante com nenhum cliente' WHEN known THEN 'e-mail do remetente já conhecido' ELSE 'nome parecido (1.00)' END AS motivo FROM ev"""
 
 
+def layer_mentions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As layer_mentions, with the mentions arriving as a stream of files."""
+    own = layer(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/arbelo/mention-stream-{uuid.uuid4().hex}"
+    own.records.filter("papel = 'mencao'").select(*mentions.COLUMNS).repartitionByRange(6, "pos").write.parquet(f"{folder}/in")
+    mentions.link_stream(mentions.read(spark, f"{folder}/in", 2), f"{folder}/out", *own.registry(), own.params).awaitTermination()
+    return mentions.current(spark, f"{folder}/out").select("ref", "id", F.coalesce("motivo", "porque").alias("motivo"))
+
+
+LAYER_MENTIONS_STREAM = LAYER_MENTIONS
+
+
 def layer_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges of registry records with their rule, and corrections of tax ids."""
     own = layer(spark, sf_dir)
@@ -294,5 +308,5 @@ LAYER_STATISTICS = f"""
     t AS (SELECT 'nf' AS fonte, count(*) AS n FROM orders UNION ALL SELECT CASE WHEN event_type = 'error' THEN 'chamado' ELSE 'email' END, count(*) FROM events GROUP BY 1)
     SELECT fonte, coalesce(t.n, ligados) AS registros, ligados FROM n LEFT JOIN t USING (fonte)"""
 
-QUERIES = {f.__name__: f for f in (layer_membership, layer_mentions, layer_merges, layer_search, layer_dossier, layer_divergences, layer_gaps, layer_timeline, layer_references, layer_roles, layer_roles_search, layer_statistics)}
+QUERIES = {f.__name__: f for f in (layer_membership, layer_mentions, layer_mentions_stream, layer_merges, layer_search, layer_dossier, layer_divergences, layer_gaps, layer_timeline, layer_references, layer_roles, layer_roles_search, layer_statistics)}
 ORACLE_SQL = {name: globals()[name.upper()] for name in QUERIES}

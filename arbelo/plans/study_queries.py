@@ -199,6 +199,22 @@ DOC_LINKS = f"""
            count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM bk) AND doc_id NOT IN (SELECT doc_id FROM bn)) AS sem_ligacao FROM documents GROUP BY 1"""
 
 
+def doc_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per source that cite an e-mail of the conversations, hold four neighbouring words of a benchmark item (all of one that has fewer), or neither."""
+    docs = table(spark, sf_dir, "documents", F.col("doc_id").alias("doc"), "text", "source")
+    keys = table(spark, sf_dir, "conversations", F.lit("email").alias("tipo"), F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("v")).select("tipo", F.lower("v").alias("v"))
+    words = table(spark, sf_dir, "benchmark", F.split(X.normalise_name(F.col("text")), " ").alias("w"))
+    names = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " "))).alias("nome"))
+    linked = profiling.document_links(docs, keys, names)
+    return docs.join(linked, "doc").groupBy("source").agg(F.count(F.lit(1)).alias("documentos"), F.count_if("by_key").alias("por_chave"), F.count_if("by_name").alias("por_nome")).withColumn("sem_ligacao", F.col("documentos") - F.col("por_chave") - F.col("por_nome"))
+
+
+DOC_LINKS_WHOLE = DOC_LINKS.replace("(SELECT lower(e) FROM e WHERE source = 'src0')", f"(SELECT lower(unnest(regexp_extract_all(text, '{EMAIL.replace("'", "''")}'))) FROM conversations)").replace(
+    f"SELECT DISTINCT ' ' || array_to_string(({_WORDS})[1:4], ' ') || ' ' AS nome FROM benchmark WHERE length(array_to_string(({_WORDS})[1:4], ' ')) >= 6",
+    f"SELECT DISTINCT ' ' || nome || ' ' AS nome FROM (SELECT array_to_string(w[i:i + 3], ' ') AS nome FROM (SELECT w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM (SELECT {_WORDS} AS w FROM benchmark))) WHERE length(nome) >= 6",
+)
+
+
 def risk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risks of a registry of customers made from the tables: broken and missing ids, shared roots, generic mail, sparse columns."""
     k = F.col("c_custkey")
@@ -326,7 +342,7 @@ WILCOXON = """
 QUERIES = {
     f.__name__: f
     for f in (
-        search_topk, incomplete_name, margin_link, pending_candidates, bm25_topk, column_profile, link_discovery, inclusion_deps, copy_detection, doc_links, risk_ranking,
+        search_topk, incomplete_name, margin_link, pending_candidates, bm25_topk, column_profile, link_discovery, inclusion_deps, copy_detection, doc_links, doc_links_whole, risk_ranking,
         pair_prf, mention_outcomes, cluster_splits, bench_agg, stratified_sample, pareto_front, paired_diff, paired_bootstrap, wilcoxon,
     )
 }

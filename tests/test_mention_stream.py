@@ -36,12 +36,7 @@ def said(layer):
 
 
 def parts(layer):
-    cad = layer.records.filter("papel = 'cadastro'")
-    member = layer.membership.filter("kind = 0").select("ref", "id")
-    # entities as they were before mentions taught them e-mails
-    own = cad.join(member.select("ref", "id"), "ref").filter("email <> ''").groupBy("id").agg(F.transform(F.array_sort(F.collect_set(F.struct("pos", "email"))), lambda x: x["email"]).alias("own"))
-    ents = layer.entities.join(own, "id", "left").withColumn("emails", F.array_distinct(F.coalesce("own", F.array().cast("array<string>")))).drop("own")
-    return cad, member, ents, layer.groups
+    return layer.registry()
 
 
 def test_blocks_of_one_email_run_side_by_side(layer, wanted, monkeypatch):
