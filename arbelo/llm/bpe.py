@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Pieces whose encodings a task remembers; beyond it the cache starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 #: Children of a node of the segment tree, a power of two: the least of 16 by the built-in min costs less than four two-way steps.
 FAN_BITS = 4
 FAN = 1 << FAN_BITS
