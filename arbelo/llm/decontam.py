@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from arbelo.llm.common import alnum_words, free_name, materialize
 
 WINDOW = 10
-#: Item words in a block: the driver and each worker hold the tables of one block, some 100 bytes a word.
+#: Item words in a block: the driver and each worker hold the tables of one block, some 700 bytes a word (840 while they are built).
 BLOCK_WORDS = 1_000_000
 
 

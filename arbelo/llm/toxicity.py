@@ -5,7 +5,9 @@ Fit: of the labelled rows outside the held-out fold, a sample of at most
 a toxic rather than a clean text.  A Dirichlet prior of `PRIOR` texts, dealt to
 the classes in proportion to their sizes, draws the log-odds of seldom tokens
 towards zero.  Log-odds of either sign count; those nearer to zero than
-`LEAST_ODDS` count as zero.  A drift, of `DRIFTS` the one under which the
+`LEAST_ODDS` count as zero, which keeps words seen once in a clean text out of
+the model's table (59,751 tokens instead of 134,101 at sf0.1; the same held-out
+texts are found without the cut).  A drift, of `DRIFTS` the one under which the
 calibrated scores fit the sample best, is added for every token, so that texts
 without evidence tend downwards.
 
