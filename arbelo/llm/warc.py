@@ -8,7 +8,8 @@ the key's lower bits, single keys by the payload's digest, so an outlying or
 very frequent key spoils nothing, and the same table gives the same shards.  A
 task writes its shard as gzip members, one per record, with headers and digests
 made anew, and rolls to a new file once `roll_bytes` compressed bytes are
-written.  Files get a temporary name and are renamed when complete; a repeated
+written.  A task takes a run of neighbouring shards (one, up to TASKS shards),
+dealt by number.  Files get a temporary name and are renamed when complete; a repeated
 task writes the same bytes under the same name.  Their names, sizes, record
 counts and SHA-256 form the manifest, a Parquet table written last: an archive
 without it is incomplete.  Temporary files of lost attempts go after that.
@@ -40,9 +41,13 @@ from pyspark.sql import functions as F
 
 from arbelo.llm.common import discard, materialize, new_folder
 
-#: Bytes of payload a shard is meant to hold, and compressed bytes after which a file ends.
-SHARD_BYTES, ROLL_BYTES = 256 << 20, 32 << 20
-#: Ranges of one level of the histogram: the driver holds a row for each.
+#: Bytes of payload a shard is meant to hold at least, and compressed bytes after which a file ends.
+SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
+#: Shards that an archive is meant to have at most: of a larger one, they hold more bytes.
+SHARDS = 1 << 17
+#: Tasks that write.
+TASKS = 1 << 16
+#: Ranges of the histogram's first level; later levels together have about 2^20, and the driver holds a row for each.
 BINS = 1 << 15
 #: Bits of the digest that cut a single key.
 DIGEST_BITS = 16
@@ -186,13 +191,14 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("body")).withColumn("digest", F.unhex(F.sha1("body")))
     spark = pages.sparkSession
     digests = materialize(rows.select("key", "digest", F.length("body").cast("long").alias("size")), "warc-digests")
-    levels, shards = _cut(digests, shard_bytes)
-    lo = digests.agg(F.min("key")).first()[0]
+    lo, total = digests.agg(F.min("key"), F.sum("size")).first()
+    levels, shards = _cut(digests, max(shard_bytes, (total or 0) // SHARDS))
+    tasks = min(shards, TASKS)
     firsts = digests.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select("digest", "first")
     decided = digests.join(firsts, "digest").select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "digest", "first").distinct()
     both = rows.select("key", "url", "body", "digest", F.lit(None).cast("long").alias("first")).unionByName(decided)
     # the decision on a digest comes before the bodies that have it
-    dealt = _with_shard(both, levels, 0 if lo is None else lo).repartition(shards, "shard").sortWithinPartitions("shard", "key", "digest", F.col("body").isNotNull(), "url")
+    dealt = _with_shard(both, levels, 0 if lo is None else lo).repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard", "key", "digest", F.col("body").isNotNull(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, at, first, n = None, (None,), None, -1

@@ -86,3 +86,22 @@ def test_files_roll_inside_a_shard(spark):
     df = spark.createDataFrame([(i, "u", f"{i * 7919 % 10007} " * 40) for i in range(400)], "page_id long, url string, html string")
     manifest = warc.write(df, new_folder(spark, "warc"), roll_bytes=4_000).collect()
     assert len({r.shard for r in manifest}) == 1 and len(manifest) > 5 and sum(r.records for r in manifest) == 400
+
+
+def test_shards_are_dealt_evenly_and_rolled(spark, monkeypatch):
+    """Many shards over fewer tasks; each full shard rolls; the bytes do not depend on the number of tasks."""
+    rows = [(i, "u", f"{i:05d}" + hashlib.sha256(str(i).encode()).hexdigest() * 12) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def files():
+        folder = new_folder(spark, "warc")
+        made = warc.write(df, folder, shard_bytes=20_000, roll_bytes=2_000).collect()
+        assert sorted((r.key, r.record_type) for r in warc.read(spark, folder).collect()) == sorted((str(i), "response") for i in range(400))
+        return {r.name: r.sha256 for r in made}, {r.shard for r in made}
+
+    names, shards = files()
+    assert len(shards) >= 15 and shards == set(range(len(shards))) and len(names) > 2 * len(shards)
+    monkeypatch.setattr(warc, "TASKS", 3)
+    assert files() == (names, shards)
+    monkeypatch.setattr(warc, "SHARDS", 4)
+    assert len(files()[1]) <= 8
