@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from arbelo.llm import licenses, secret_ledger
 from arbelo.llm.common import new_folder
 
@@ -83,6 +85,21 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert found == {1: [("assign@1", 0, 13)], 2: [("assign@1", 0, 13)], 3: [("plain@1", 0, 5)]}
 
 
+def test_a_run_groups_only_its_own_blobs(spark):
+    """A second run over other texts touches no entry of the first, one over known texts adds none, and increments change no finding."""
+    ledger = new_folder(spark, "ledger")
+    docs = spark.createDataFrame([(i, f"token=abcdef{i % 30}") for i in range(60)], "doc_id long, text string")
+    want = sorted(map(tuple, secret_ledger.report(docs, increments=1).collect()))
+    assert want == sorted(map(tuple, secret_ledger.report(docs, ledger=ledger, increments=3).collect()))
+    rows = secret_ledger.read(spark, ledger)
+    assert rows.count() == 30 and rows.filter(F.col("part") != F.hex(F.substring("blob", 1, 1))).count() == 0
+    few = docs.filter("doc_id = 7")
+    blobs = few.select(secret_ledger._blob("text").alias("blob"))
+    assert secret_ledger._entries(rows, blobs).count() == 1
+    assert [r.n_assign for r in secret_ledger.report(few, ledger=ledger).collect()] == [1]
+    assert secret_ledger.read(spark, ledger).count() == 30
+
+
 def test_odd_secrets(odd, none):
     assert secret_ledger.report(odd).count() == odd.count()
     assert secret_ledger.report(none).count() == 0
