@@ -173,21 +173,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
+def _segment_scores(batches, halves: list[dict[bytes, float]]):
+    """(y, n, scores of segments under each drift) from batches (text, y, half), by the log-odds of the other half."""
+    for batch in batches:
+        sizes, found = [], [[] for _ in DRIFTS]
+        for text, half in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
+            words = tokens(text.as_py())  # of one text at a time: those of a batch take several times its texts
+            sizes.append(len(words))
+            for own, drift in zip(found, DRIFTS, strict=True):
+                own.append(np.array([s for *_, s in scan(words, halves[1 - half], drift)], float))
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), *[pa.array(own, pa.list_(pa.float64())) for own in found]], names=["y", "n", *[f"d{i}" for i in range(len(DRIFTS))]])
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     sample = labelled_sample(docs, labels, label, HELD_OUT, FOLDS, SAMPLE, key, text)
     sample = materialize(sample.select("text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")), "toxic-sample")
     halves, odds = _odds(_token_counts(sample))
     shared = sample.sparkSession.sparkContext.broadcast(halves)
 
-    def best(batches):
-        for batch in batches:
-            rows = [tokens(x.as_py()) for x in batch.column(0)]
-            sides = batch.column(2).to_pylist()
-            found = [[[s for *_, s in scan(w, shared.value[1 - half], drift)] for w, half in zip(rows, sides, strict=True)] for drift in DRIFTS]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(w) for w in rows], pa.int64()), *[pa.array(own, pa.list_(pa.float64())) for own in found]], names=["y", "n", *names])
-
     names = [f"d{i}" for i in range(len(DRIFTS))]
-    rows = sample.select("text", "y", "half").mapInArrow(best, "y int, n long, " + ", ".join(f"{c} array<double>" for c in names)).toArrow()  # SAMPLE rows at most
+    rows = sample.select("text", "y", "half").mapInArrow(lambda batches: _segment_scores(batches, shared.value), "y int, n long, " + ", ".join(f"{c} array<double>" for c in names)).toArrow()  # SAMPLE rows at most
     y = np.clip(rows.column("y").to_numpy(), 0, 1).astype(float)
     if not len(y) or not 0 < y.mean() < 1:
         share = float(y.mean()) if len(y) else 0.0
