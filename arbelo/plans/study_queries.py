@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arbelo.functions import text as X
 from arbelo.operators import evaluate, experiments, profiling, ranking, retrieval, search
-from arbelo.operators.tables import materialize
+from arbelo.operators.tables import dealt, materialize
 from arbelo.plans.name_queries import _GRAMS, EMAIL
 from arbelo.plans.tables import table
 
@@ -222,9 +222,9 @@ def risk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     dv = X.check_digits(base)
     tax = F.when(k % 17 == 3, F.lit("")).when(k % 11 == 5, F.concat(base, F.lit("00"))).otherwise(F.concat(base, dv))
     mail = F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit(""))), F.when(k % 5 == 0, "@gmail.com").otherwise("@firma.com.br"))
-    registry = table(spark, sf_dir, "customer", "c_custkey", tax.alias("documento"), mail.alias("mail"), F.when(k % 3 == 0, F.col("c_name")).otherwise("").alias("extra"))
-    values = profiling.column_values({"registry": registry})
-    stats = profiling.column_stats(values)
+    registry = dealt(table(spark, sf_dir, "customer", "c_custkey", "c_name")).select("c_custkey", tax.alias("documento"), mail.alias("mail"), F.when(k % 3 == 0, F.col("c_name")).otherwise("").alias("extra"))
+    values = materialize(profiling.column_values({"registry": registry}), "values")
+    stats = materialize(profiling.column_stats(values), "stats")
     return profiling.column_risks(stats, profiling.column_extras({"registry": registry}, values, stats)).withColumn("ordem", F.col("ordem").cast("long"))
 
 

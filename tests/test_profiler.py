@@ -7,6 +7,7 @@ import json
 import pytest
 
 from arbelo import profiler
+from arbelo.plans import study_queries
 from arbelo.sources import readers
 
 
@@ -109,3 +110,11 @@ def test_csv_round_trip_and_resumable_jobs(spark, tmp_path):
     assert {(r.id, r.v) for r in readers.read_csv(spark, f"file://{tmp_path}/w").collect()} == {("1", "plain"), ("2", 'a;b "c"')}
     assert [r.id for r in readers.pending_jobs(df, df.filter("id = '1'")).collect()] == ["2"]
     assert readers.public_columns(df.withColumnRenamed("v", "_v")).columns == ["id"]
+
+
+def test_the_risks_of_a_registry_read_it_once(spark, monkeypatch):
+    kept, real = [], study_queries.materialize
+    monkeypatch.setattr(study_queries, "materialize", lambda df, name: kept.append(name) or real(df, name))
+    found = study_queries.risk_ranking(spark, "/root/testdata/sf0.001")
+    assert kept == ["values", "stats"] and found.count() == 5
+    assert "customer.parquet" not in "".join(found.inputFiles())
