@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +39,7 @@ class EntityLayer:
     corrections: DataFrame
     pending: DataFrame
     resolved: DataFrame  # entities as the registry alone gives them, before mentions teach them e-mails
+    placed: DataFrame | None = None  # records with their membership, if they were written together
 
     @classmethod
     def build(cls, sources: dict[str, DataFrame], params: Params = Params()) -> EntityLayer:
@@ -87,8 +88,12 @@ class EntityLayer:
 
     def rows_of(self, role: str | None = None) -> DataFrame:
         """Records with their entity, kind and order, as far as the role may see them."""
-        rows = self.records if role is None or role == access.ALL else access.visible(self.records, role)
-        return rows.join(self.membership, "ref")
+        see = lambda rows: rows if role is None or role == access.ALL else access.visible(rows, role)
+        return see(self.records).join(self.membership, "ref") if self.placed is None else see(self.placed)
+
+    def prepared(self) -> EntityLayer:
+        """The layer with records and membership written as one table, for answers that need them many times over."""
+        return self if self.placed is not None else replace(self, placed=materialize(self.rows_of(), "placed"))
 
     def view(self, role: str | None = None) -> DataFrame:
         """Entities with the identity that the visible records give, and how many records are hidden."""
@@ -96,7 +101,7 @@ class EntityLayer:
             return self.entities.join(self.groups, "id", "left").withColumns({"grupo": F.coalesce("grupo", F.array().cast("array<string>")), "ocultos": F.lit(0).cast("long")})
         seen = self.rows_of(role)
         who = resolve.identity(seen.filter("kind = 0"))
-        counts = access.hidden(self.records.join(self.membership, "ref"), role, "id")
+        counts = access.hidden(self.rows_of(), role, "id")
         first_mention = seen.filter("kind = 2").groupBy("id").agg(F.min_by("nomeOrig", "ordem_no_grupo").alias("mencionado"))
         base = self.entities.select("id", "cidade", "ordem").join(self.groups, "id", "left").join(counts, "id").join(who, "id", "left").join(first_mention, "id", "left")
         empty = F.array().cast("array<string>")

@@ -232,10 +232,10 @@ def layer_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     of hidden records is told wrongly (contagem).  A tax id that an allowed
     record was corrected to is no secret.
     """
-    own = layer(spark, sf_dir)
+    own = layer(spark, sf_dir).prepared()
     marks = F.array_distinct(F.filter(F.array("ref", "email", F.when(F.length("cnpj") == 14, F.col("cnpj")), "cnpjCorrigido"), lambda x: F.coalesce(x, F.lit("")) != ""))
     secrets = materialize(own.records.select("fonte", F.explode(marks).alias("w")).distinct(), "secrets")
-    everything = own.records.join(own.membership, "ref")
+    everything = own.rows_of()
     out = []
     for role in [*access.ROLES, "visitante"]:
         dossier = materialize(own.dossier(role).select("id", "registros_ocultos", F.to_json(F.struct("*")).alias("t")), "dossiers")

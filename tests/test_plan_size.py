@@ -52,3 +52,10 @@ def test_an_answer_of_the_layer_names_few_tables(spark, own, written):
 
 def test_roles_searched_are_one_table_each(spark, own, written):
     assert tables_named(layer_queries.layer_roles_search(spark, SMALLEST)) == 6
+
+
+def test_roles_read_records_with_their_entities_as_one_table(own):
+    ready = own.prepared()
+    assert "Join" not in ready.rows_of("financeiro")._jdf.queryExecution().analyzed().toString() and ready.prepared() is ready
+    for role in (None, "financeiro", "nobody"):
+        assert sorted(map(tuple, ready.rows_of(role).select("ref", "id", "kind").collect())) == sorted(map(tuple, own.rows_of(role).select("ref", "id", "kind").collect()))
